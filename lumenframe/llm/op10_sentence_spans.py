@@ -150,6 +150,8 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     @F.udf("string")
     def kept(text, spans_):
+        if not spans_:  # Spark may ask for rows that the branch below leaves out
+            return text
         data = text.encode()
         found = sentences(data)
         out, last = [], 0
