@@ -79,14 +79,18 @@ class Files:
             pass
 
 
-def text_groups(texts: list, most: int = 4 << 20):
-    """Runs of ``texts`` (bytes or None) of about ``most`` bytes, as (first index, list)."""
+def text_groups(texts, most: int = 2 << 20, rows: int = 64):
+    """Runs of an Arrow array of texts as bytes, of about ``most`` bytes each: (first index, list).
+
+    Only one run at a time is held as Python objects; null is empty.
+    """
     start, size, group = 0, 0, []
-    for i, text in enumerate(texts):
-        group.append(text or b"")
-        size += len(group[-1])
-        if size >= most:
-            yield start, group
-            start, size, group = i + 1, 0, []
+    for at in range(0, len(texts), rows):
+        for text in texts.slice(at, rows).to_pylist():
+            group.append(text or b"")
+            size += len(group[-1])
+            if size >= most:
+                yield start, group
+                start, size, group = start + len(group), 0, []
     if group:
         yield start, group

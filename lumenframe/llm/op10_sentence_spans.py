@@ -78,7 +78,7 @@ def span_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         for batch in batches:
             ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, group in text_groups(batch.column(2).to_pylist()):
+            for first, group in text_groups(batch.column(2)):
                 doc, mark, pos, n, data = [], [], [], [], []
                 for i, text in enumerate(group, first):
                     for at, count, span in spans(sentences(text), least_sentences, least_words):
@@ -130,7 +130,7 @@ def span_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     @F.arrow_udf("long")
     def counted(texts: pa.Array) -> pa.Array:
-        return pa.array([len(sentences(t)) for _, g in text_groups(texts.to_pylist()) for t in g], pa.int64())
+        return pa.array([len(sentences(t)) for _, g in text_groups(texts) for t in g], pa.int64())
 
     @F.udf("array<struct<first: int, after: int>>")
     def cover(spans_):

@@ -36,7 +36,7 @@ SCHEMA = "doc_id long, n_chars long, n_tokens long, score double"
 class UnigramCounter:
     """``count(text)`` gives (score, pieces) of the best path of "▁" + text, blanks as "▁"."""
 
-    def __init__(self, pieces: list[tuple[str, float]], most_cuts: int = 500_000):
+    def __init__(self, pieces: list[tuple[str, float]], most_cuts: int = 200_000):
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             if piece:
@@ -131,7 +131,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             _made[model] = UnigramCounter(model_pieces(model))
         count = _made[model].count
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, texts = batch.column(0), batch.column(1)
             counted = [count(t.decode("utf-8", "replace")) for _, group in text_groups(texts) for t in group]
             yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array([c for _, c in counted], pa.int64()), pa.array([s for s, _ in counted], pa.float64())], names=["doc_id", "n_chars", "n_tokens", "score"])
 

@@ -71,7 +71,7 @@ def stats_column(text: Column) -> Column:
 
     @F.arrow_udf(STATS)
     def counted(texts: pa.Array) -> pa.Array:
-        rows = [statistics(t) for _, group in text_groups(texts.to_pylist()) for t in group]
+        rows = [statistics(t) for _, group in text_groups(texts) for t in group]
         columns = list(zip(*rows)) or [()] * len(COUNTS)
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=COUNTS)
 

@@ -82,7 +82,7 @@ def fingerprints(text: Column, n: int = WORDS, views: int = 1) -> Column:
 
     @F.arrow_udf("array<long>")
     def hashed(texts: pa.Array) -> pa.Array:
-        out = [word_fingerprints(t, views) if n == 0 else [fingerprint(t, n)] for _, group in text_groups(texts.to_pylist()) for t in group]
+        out = [word_fingerprints(t, views) if n == 0 else [fingerprint(t, n)] for _, group in text_groups(texts) for t in group]
         return pa.array(list(np.array(out, np.uint64).astype(np.int64)) if out else [], pa.list_(pa.int64()))
 
     return hashed(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))

@@ -22,7 +22,7 @@ class WordIds:
     ``most_words`` bounds the memo; when it is full it is emptied, which costs time only.
     """
 
-    def __init__(self, path: str, most_words: int = 700_000):
+    def __init__(self, path: str, most_words: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
