@@ -10,7 +10,7 @@ Format, below one folder:
 * ``recipes/``: Parquet in ascending document id: the digests of a document's chunks in
   order and its Merkle root; ``start`` is the number of ids of all documents before it.
 
-A rolling hash over the last eight ids decides where an id stream is cut, so equal
+A rolling hash over the last four ids decides where an id stream is cut, so equal
 passages give equal chunks.  Tasks write packs under names of their own attempt; only
 packs that a finished task reported count, so lost and repeated tasks do no harm.  Each
 task keeps its unique chunks, then one owner is chosen per digest over all packs, and
@@ -37,7 +37,7 @@ from .common import Files, read_table, shared_folder, text_groups, written
 from .token_ids import word_ids
 
 MAGIC = b"LFPK0001"
-LEAST, MEAN_BITS, MOST, SPAN = 64, 9, 4096, 8
+LEAST, MEAN_BITS, MOST, SPAN = 64, 9, 4096, 4
 FRAME_BYTES, PACK_BYTES = 1 << 18, 256 << 20
 ENTRY = "doc_id long, part long, ord long, seq long, digest binary, n_ids long, pack string, frame long, frame_bytes long, at long"
 PLACE = "digest binary, pack string, frame long, frame_bytes long, at long, n_ids long"

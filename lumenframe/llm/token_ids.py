@@ -4,11 +4,16 @@ Most public word and byte-pair tokenizers never join across ASCII blanks and giv
 no ids, so the ids of a text are those of its blank-delimited words in a row.  ``WordIds``
 checks this for its tokenizer when it is made; where it holds, every distinct word is
 encoded once by the tokenizers library and then looked up, else whole texts are encoded.
+
+Words of plain Latin letters with punctuation after them need no normalizing beyond lower
+case: their letters and their punctuation go to the library's model one by one, if the
+same check shows that this gives equal ids.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -16,10 +21,33 @@ PROBES = ["a", "The", "é", "x1", "7", "!!", "...", "'s", "'", "́o", "ß,", "<|
 BLANKS = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "  ", " \n "]
 
 
+#: Letters whose lower case and composed form are their own, each one character.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*$%&#]*)")
+PLAIN_PROBES = ["The", "tion.", "ÉAU,", "ñandú!!", "a|", "Straße", "ÿÝ***", "x#$%&", "THEDNT!!", "for;:", "über?"]
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable characters that byte-level tokenizers use for bytes."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Memo(dict):
+    """A dict that fills itself by a function."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class WordIds:
     """``encode(texts)`` gives, per UTF-8 text, its ids as little-endian unsigned 32-bit bytes.
 
-    ``most_words`` bounds the memo; when it is full it is emptied, which costs time only.
+    ``most_words`` bounds each memo; a memo that is full is emptied, which costs time only.
     """
 
     def __init__(self, path: str, most_words: int = 200_000):
@@ -27,14 +55,20 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = False
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.most_words = most_words
-        self.memo: dict[bytes, bytes] = {}
+        self.words, self.parts = _Memo(self._word), _Memo(self._part)
         self.by_words = self._splits_at_blanks()
+        self.by_parts = False
+        self.by_parts = self.by_words and all(self._parts_of(p) == self._packed(self._ids(p)) for p in PLAIN_PROBES)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return np.array(ids, dtype="<u4").tobytes()
+
     def _splits_at_blanks(self) -> bool:
         alone = {p: self._ids(p) for p in PROBES}
         return all(
@@ -44,32 +78,32 @@ class WordIds:
             for b in (PROBES[i - 1], PROBES[i], PROBES[(i + 3) % len(PROBES)])
         )
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode unseen words, some hundreds at a time; offsets tell whose each id is."""
-        for at in range(0, len(words), 512):
-            some = [w.decode("utf-8", "replace") for w in words[at : at + 512]]
-            ends = np.cumsum([len(w) + 1 for w in some])
-            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(encoded.ids, dtype="<u4")
-            firsts = np.fromiter((o[0] for o in encoded.offsets), np.int64, len(ids))
-            cuts = np.searchsorted(firsts, ends)
-            data, last = ids.tobytes(), 0
-            for word, cut in zip(words[at : at + 512], cuts.tolist()):
-                self.memo[word] = data[4 * last : 4 * cut]
-                last = cut
+    def _part(self, part: str) -> bytes:
+        """Ids of letters in lower case, or of punctuation, from the model alone."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part)])
+
+    def _parts_of(self, text: str) -> bytes | None:
+        if not (m := PLAIN.fullmatch(text)):
+            return None
+        return self.parts[m[1].lower()] + (self.parts[m[2]] if m[2] else b"")
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        got = self._parts_of(text) if self.by_parts else None
+        return self._packed(self._ids(text)) if got is None else got
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_words:
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-        split = [t.split() for t in texts]  # bytes split at the six ASCII blanks
-        words: set[bytes] = set().union(*split)
-        unseen = words.difference(self.memo)
-        if unseen and len(self.memo) + len(unseen) > self.most_words:
-            self.memo.clear()
-            unseen = words
-        self._learn(list(unseen))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+            return [self._packed(e.ids) for e in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        out, get = [], self.words.__getitem__
+        for text in texts:
+            out.append(b"".join(map(get, text.split())))  # bytes split at the six ASCII blanks
+            for memo in (self.words, self.parts):
+                if len(memo) > self.most_words:
+                    memo.clear()
+        return out
 
 
 _made: dict[str, WordIds] = {}
