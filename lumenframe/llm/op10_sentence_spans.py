@@ -9,7 +9,9 @@ any other are removed.
 
 Hashes are counted by their first 64 bits with partial sums; only spans whose count is
 above one are compared by all 128 bits and placed, so most rows cross the network as
-one small count.  Spans of a document are gathered per document only.
+one small count.  Spans of a document are gathered per document only.  The sides of both
+joins are written first: under a join that reads aggregates straight from their exchange
+Spark can't split the partition of a hot span.
 """
 
 from __future__ import annotations
@@ -98,10 +100,10 @@ def span_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def repeated(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc, mark, gone): per document the spans (pos, n) that repeat an earlier one."""
     found = span_hashes(docs, id_col, text_col, least_sentences, least_words)
-    often = found.groupBy("h1").agg(F.count("*").alias("c")).filter("c > 1").select("h1")
+    often = written(found.groupBy("h1").agg(F.count("*").alias("c")).filter("c > 1").select("h1"), f"{folder}/often")
     some = written(found.join(often, "h1"), f"{folder}/some")
     place = F.struct("doc", "mark", "pos")
-    first = some.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    first = written(some.groupBy("h1", "h2").agg(F.min(place).alias("first")), f"{folder}/first")
     later = some.join(first, ["h1", "h2"]).filter(place != F.col("first"))
     return written(later.groupBy("doc", "mark").agg(F.array_sort(F.collect_set(F.struct("pos", "n"))).alias("gone")), f"{folder}/gone")
 
