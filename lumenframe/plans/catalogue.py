@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import joins, relations, shape
 from ..operators.pipe import Pipe
 from ..sources.tables import table, views
+from . import dialects
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -432,6 +433,37 @@ def dml_merge(spark, read):
     return relations.merge(s.filter("s_suppkey < 60"), s.filter("s_suppkey >= 40"), ["s_suppkey"], {"s_acctbal": "t.s_acctbal + s.s_acctbal"})
 
 
+# Queries in the words of other dialects
+def foreign(name: str, dialect: str, tables: str, sql: str, oracle: str | None = None) -> None:
+    """Registers SQL of a dialect; DuckDB runs ``oracle``, or the text itself."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views(spark, sf_dir, *tables.split())
+        return dialects.run(spark, sql, dialect)
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = oracle or sql
+
+
+foreign("dialect_duckdb_stars", "duckdb", "customer", "SELECT * EXCLUDE (c_acctbal), c_custkey // 7 AS k FROM customer")
+foreign("dialect_duckdb_qualify", "duckdb", "orders", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders WHERE o_orderstatus <> 'P' QUALIFY rn <= 2")
+foreign("dialect_duckdb_lists", "duckdb", "orders", "FROM (SELECT o_custkey, list_sort(list(o_orderkey)) AS ks, arg_max(o_orderkey, o_totalprice) AS k FROM orders GROUP BY o_custkey)")
+foreign("dialect_postgres_distinct_on", "postgres", "orders", """SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey AS "Key" FROM orders WHERE o_orderpriority ~ '^[1-3]' ORDER BY o_custkey, o_totalprice DESC, o_orderkey""",
+        """SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey AS "Key" FROM orders WHERE regexp_matches(o_orderpriority, '^[1-3]') ORDER BY o_custkey, o_totalprice DESC, o_orderkey""")
+foreign("dialect_postgres_nulls", "postgres", "orders", "SELECT o_orderkey, row_number() OVER (ORDER BY nullif(o_orderstatus, 'F') DESC, o_orderkey)::BIGINT AS rn FROM orders",
+        "SELECT o_orderkey, row_number() OVER (ORDER BY nullif(o_orderstatus, 'F') DESC NULLS FIRST, o_orderkey)::BIGINT AS rn FROM orders")
+foreign("dialect_postgres_fetch", "postgres", "orders", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 5 ROWS FETCH NEXT 7 ROWS ONLY", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 7 OFFSET 5")
+foreign("dialect_snowflake", "snowflake", "orders", "SELECT o_custkey, iff(o_totalprice > 50000, 'a', 'b') AS c, datediff(month, o_orderdate, '1999-01-15'::timestamp) AS m, div0(o_totalprice, o_custkey - 1) AS d FROM orders QUALIFY rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC) = 1",
+        "SELECT o_custkey, CASE WHEN o_totalprice > 50000 THEN 'a' ELSE 'b' END AS c, date_diff('month', o_orderdate, TIMESTAMP '1999-01-15') AS m, CASE WHEN o_custkey = 1 THEN 0 ELSE o_totalprice / (o_custkey - 1) END AS d FROM orders QUALIFY rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC) = 1")
+foreign("dialect_tsql_ties", "tsql", "part", "SELECT TOP 7 WITH TIES [p_partkey], p_size FROM part ORDER BY p_size DESC", "SELECT p_partkey, p_size FROM part QUALIFY rank() OVER (ORDER BY p_size DESC NULLS LAST) <= 7")
+foreign("dialect_tsql_apply", "tsql", "customer orders", "SELECT c_custkey, t.n, LEN(c_name) AS l, ISNULL(t.m, 0) AS m FROM customer OUTER APPLY (SELECT count(*) AS n, max(o_totalprice) AS m FROM orders WHERE o_custkey = c_custkey) AS t",
+        "SELECT c_custkey, t.n, CAST(length(c_name) AS INTEGER) AS l, coalesce(t.m, 0) AS m FROM customer LEFT JOIN LATERAL (SELECT count(*) AS n, max(o_totalprice) AS m FROM orders WHERE o_custkey = c_custkey) AS t ON true")
+foreign("dialect_bigquery", "bigquery", "lineitem", 'SELECT * EXCEPT (q) FROM (SELECT l_returnflag, COUNTIF(l_linestatus = "O") AS n, LOGICAL_AND(l_quantity > 0) AS p, SAFE_DIVIDE(SUM(l_quantity), 0) AS z, 1 AS q FROM lineitem GROUP BY l_returnflag)',
+        "SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'O') AS n, bool_and(l_quantity > 0) AS p, CAST(NULL AS DOUBLE) AS z FROM lineitem GROUP BY l_returnflag")
+foreign("dialect_mysql", "mysql", "nation", 'SELECT n_regionkey, GROUP_CONCAT(n_name ORDER BY n_name DESC SEPARATOR "|") AS ns FROM nation GROUP BY n_regionkey ORDER BY n_regionkey LIMIT 1, 3',
+        "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name DESC) AS ns FROM nation GROUP BY n_regionkey ORDER BY n_regionkey LIMIT 3 OFFSET 1")
+
+
 # Analysis of a query without running it
 def _analysed(spark, sf_dir):
     from . import analysis
