@@ -23,6 +23,7 @@ compared with the recipe's.  No id crosses the network.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 import zlib
@@ -100,28 +101,35 @@ def _multiply(a: int, b: int) -> int:
     return product
 
 
-_shifts: dict[int, int] = {0: 1 << 31}
+@functools.cache
+def _shift_tables(k: int) -> np.ndarray:
+    """Row i has, for each value of byte i of a crc32, what 2^k more bytes after it make of that byte."""
+    power = 1 << 23
+    for _ in range(k):
+        power = _multiply(power, power)
+    return np.array([[_multiply(power, byte << 8 * i) for byte in range(256)] for i in range(4)], np.uint32)
 
 
-def _shift(n: int) -> int:
-    """x to the power 8 n, the factor that n more bytes put on a crc32."""
-    if n not in _shifts:
-        if len(_shifts) > 100_000:
-            _shifts.clear()
-            _shifts[0] = 1 << 31
-        power, square, left = 1 << 31, 1 << 23, n
-        while left:
-            if left & 1:
-                power = _multiply(power, square)
-            square = _multiply(square, square)
-            left >>= 1
-        _shifts[n] = power
-    return _shifts[n]
+def crc32_of_runs(crcs: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """crc32 of each run of byte strings in a row from the strings' own crc32 and sizes.
+
+    A run begins at each of ``starts`` and has a string at least.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint32)
+    upto, ends = np.cumsum(sizes), np.append(starts[1:], len(sizes)) - 1
+    after = np.repeat(upto[ends], ends - starts + 1) - upto
+    out = crcs.astype(np.uint32)
+    for k in range(int(after.max()).bit_length()):
+        at = np.flatnonzero(after >> k & 1)
+        tables, v = _shift_tables(k), out[at]
+        out[at] = tables[0][v & 255] ^ tables[1][v >> 8 & 255] ^ tables[2][v >> 16 & 255] ^ tables[3][v >> 24]
+    return np.bitwise_xor.reduceat(out, starts)
 
 
 def crc32_joined(first: int, second: int, second_bytes: int) -> int:
     """crc32 of two byte strings in a row from their own."""
-    return _multiply(_shift(second_bytes), first) ^ second
+    return int(crc32_of_runs(np.array([first, second]), np.array([0, second_bytes]), np.array([0]))[0])
 
 
 class PackWriter:
@@ -306,9 +314,9 @@ def _before(sums: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _roots(entries: DataFrame) -> DataFrame:
-    @F.udf("binary")
-    def root(digests):
-        return merkle_root([bytes(d) for d in digests])
+    @F.arrow_udf("binary")
+    def root(digests: pa.Array) -> pa.Array:
+        return pa.array([merkle_root(d) for d in digests.to_pylist()], pa.binary())
 
     recipe = entries.groupBy("doc_id", "part", "ord").agg(F.sort_array(F.collect_list(F.struct("seq", "digest"))).alias("recipe"), F.sum("n_ids").alias("n_tokens"))
     return recipe.select("doc_id", "part", "ord", "n_tokens", F.col("recipe.digest").alias("digests")).withColumn("root", root("digests"))
@@ -346,12 +354,13 @@ class TokenStore:
     def documents(self) -> DataFrame:
         """One row per document, read back: doc_id, start, n_tokens, ids_crc32, verified."""
 
-        @F.udf("struct<crc: long, root: binary>")
-        def rebuilt(parts):
-            crc = 0
-            for p in parts:
-                crc = crc32_joined(crc, p["crc"], 4 * p["n_ids"])
-            return crc, merkle_root([bytes(p["digest"]) for p in parts])
+        @F.arrow_udf("struct<crc: long, root: binary>")
+        def rebuilt(parts: pa.Array) -> pa.Array:
+            counts, chunks = parts.value_lengths().to_numpy(), parts.flatten()
+            starts, digests = np.cumsum(counts) - counts, chunks.field("digest").to_pylist()
+            crcs = crc32_of_runs(chunks.field("crc").to_numpy(), 4 * chunks.field("n_ids").to_numpy(), starts)
+            roots = [merkle_root(digests[a : a + n]) for a, n in zip(starts.tolist(), counts.tolist())]
+            return pa.StructArray.from_arrays([pa.array(crcs, pa.int64()), pa.array(roots, pa.binary())], ["crc", "root"])
 
         pieces = self.recipes.select("doc_id", "part", "ord", "start", "root", F.posexplode("digests").alias("seq", "digest"))
         read = pieces.join(self.checked(), "digest")

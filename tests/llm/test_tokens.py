@@ -135,6 +135,10 @@ def test_crc_and_merkle():
     a, b = b"abc" * 9, b"defg" * 1000
     assert op9.crc32_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
     assert op9.crc32_joined(0, zlib.crc32(b), len(b)) == zlib.crc32(b)
+    runs = [[a, b], [b""], [b], [b, b"", a, a]]
+    flat, n = [x for r in runs for x in r], np.array([len(r) for r in runs])
+    joined = op9.crc32_of_runs(np.array([zlib.crc32(x) for x in flat]), np.array([len(x) for x in flat]), np.cumsum(n) - n)
+    assert joined.tolist() == [zlib.crc32(b"".join(r)) for r in runs]
     assert op9.merkle_root([b"1", b"2", b"3"]) != op9.merkle_root([b"1", b"3", b"2"])
 
 
