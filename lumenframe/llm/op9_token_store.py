@@ -242,7 +242,7 @@ def _encoded(docs: DataFrame, folder: str, tokenizer: str, id_col: str, text_col
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for first, group in text_groups(batch.column(1)):
+            for first, group in text_groups(batch.column(1), 8 << 20):
                 for i, data in enumerate(encode(group), first):
                     data += end
                     last = 0
