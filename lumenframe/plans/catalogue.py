@@ -464,6 +464,37 @@ foreign("dialect_mysql", "mysql", "nation", 'SELECT n_regionkey, GROUP_CONCAT(n_
         "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name DESC) AS ns FROM nation GROUP BY n_regionkey ORDER BY n_regionkey LIMIT 3 OFFSET 1")
 
 
+# Templated models
+@query("SELECT c_mktsegment, count(*) AS n, round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS o_total, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS f_total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 50000 GROUP BY c_mktsegment")
+def template_models(spark, read):
+    from .templates import Models
+
+    for name in ("orders", "customer"):
+        read(name).createOrReplaceTempView(name)
+    models = {
+        "large_orders": "SELECT * FROM {{ source('shop', 'orders') }}{% if var('least') %} WHERE o_totalprice > {{ var('least') }}{% endif %}",
+        "by_segment": """{% set states = ['O', 'F'] %}{{ config(materialized='view') }}
+SELECT c_mktsegment, count(*) AS n{% for s in states %}, round(sum(CASE WHEN o_orderstatus = '{{ s }}' THEN o_totalprice END), 2) AS {{ s | lower }}_total{% endfor %}
+FROM {{ ref('large_orders') }} JOIN {{ source('shop', 'customer') }} ON o_custkey = c_custkey GROUP BY c_mktsegment""",
+    }
+    return Models(models, {("shop", t): t for t in ("orders", "customer")}, {"least": 50000}).run(spark, "by_segment")
+
+
+# Scripts: variables, loops and branches, which Spark runs as one compound statement
+same("script_while", "orders", """BEGIN
+  DECLARE bound INT DEFAULT 1;
+  WHILE bound < 1000 DO SET bound = bound * 10; END WHILE;
+  IF bound > 100 THEN SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_custkey <= bound GROUP BY o_orderstatus;
+  ELSE SELECT o_orderstatus, 0L AS n FROM orders; END IF;
+END""", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_custkey <= 1000 GROUP BY o_orderstatus")
+same("script_for", "nation region", """BEGIN
+  DECLARE total BIGINT DEFAULT 0;
+  FOR r AS SELECT r_regionkey FROM region DO SET total = total + (SELECT count(*) FROM nation WHERE n_regionkey = r.r_regionkey); END FOR;
+  SELECT total;
+END""", "SELECT count(*) AS total FROM nation JOIN region ON n_regionkey = r_regionkey")
+same("execute_immediate", "part", "EXECUTE IMMEDIATE 'SELECT p_brand, count(*) AS n FROM part WHERE p_size > ? GROUP BY p_brand' USING 10", "SELECT p_brand, count(*) AS n FROM part WHERE p_size > 10 GROUP BY p_brand")
+
+
 # Analysis of a query without running it
 def _analysed(spark, sf_dir):
     from . import analysis
