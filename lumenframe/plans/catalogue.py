@@ -503,7 +503,7 @@ def _analysed(spark, sf_dir):
     return analysis, "SELECT c.c_name, sum(o.o_totalprice) AS total, count(*) AS n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_name"
 
 
-for _kind in ("lineage", "types", "nullability", "diagnostics"):
+for _kind in ("lineage", "hops", "types", "nullability", "diagnostics"):
 
     def _run(spark, sf_dir, kind=_kind):
         analysis, sql = _analysed(spark, sf_dir)
