@@ -30,6 +30,7 @@ from .near import components
 WORDS, RADIUS, SEED = 3, 3, 42
 SHARD, MOST_SHARDS, SAMPLE_A_SHARD = 8192, 4096, 48
 BROADCAST_ROWS = 500_000
+SAMPLE_DOCS, MOST_COMMON = 20_000, 65_536
 LEAF = 48
 ALL_BYTES = np.array([[b >> i & 1 for i in range(8)] for b in range(256)], np.int32)
 
@@ -246,14 +247,54 @@ def _matched(left: DataFrame, small: DataFrame, on: list[str], how: str) -> Data
     return left.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, views: int = 6, radius: int = RADIUS) -> DataFrame:
+def shingle_hashes(text: bytes, n: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's n-word shingles (fewer words: of the whole sequence), ascending."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    hashes = np.array([xxh64_intdigest(w) for w in words], np.uint64)
+    size = min(n, len(words))
+    out = np.full(len(words) - size + 1, size, np.uint64)
+    for i in range(size):
+        out = mixed(out ^ hashes[i : i + len(out)], i)
+    return np.unique(out)
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of ascending ``hashes``, those not in ``common`` first, that two sets of at least the similarity share one.
+
+    Such sets share at least ``similarity`` of each, so each has one of the shared among
+    all but that share of its own, plus one; the first of the shared in the order is in both.
+    """
+    late = np.isin(hashes, common, assume_unique=True)
+    return np.concatenate([hashes[~late], hashes[late]])[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
+
+
+def common_shingles(docs: DataFrame, id_col: str, text_col: str, n: int) -> np.ndarray:
+    """Hashes of shingles that many documents of a bounded sample hold; they only order the prefixes."""
+
+    @F.arrow_udf("array<long>")
+    def all_of(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_hashes(t, n).astype(np.int64) for _, group in text_groups(texts) for t in group], pa.list_(pa.int64()))
+
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    some = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30)))
+    held = some.select(F.explode(all_of(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))).alias("shingle")).groupBy("shingle").count()
+    top = held.filter("count > 3").orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).collect()
+    return np.sort(np.array([r.shingle for r in top], np.int64)).astype(np.uint64)
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without near copies: of each group one document stays, that with the smallest id.
 
-    Candidates come from ``views`` SimHashes of the set of distinct words, each searched
-    by vantage-point trees at ``radius``: edits that keep the similarity of shingles at
-    0.8 change few words, so the fingerprints are close in some view.  An exact check
-    follows: a link counts only if the sets of n-word shingles of both whole texts
-    have at least the similarity.  Groups are the connected components of such links.
+    Two documents are linked if the sets of n-word shingles of their whole texts have at
+    least the similarity; groups are the connected components of all such links.
+
+    Candidates are exact: each set's prefix in one order of all shingles (see ``prefix``)
+    is met with the others'.  Equal sets are one set.  First each holder of a shingle is
+    checked against one of up to eight hubs of it, which joins groups of many copies by
+    few checks.  Then every pair of holders that is not in one group by then and whose
+    sizes allow the similarity is checked, so a failed check closes no other.
 
     Equal texts are one document (null and empty are equal), null ids come last; rows
     equal in id and text stay or go together; other columns are kept as they are; an
@@ -264,34 +305,63 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     h1, h2, ident, least, gone = (fresh_name(docs, f"__lf_{c}") for c in ("h1", "h2", "id", "least", "gone"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = {h1: F.xxhash64(text), h2: F.xxhash64(F.lit("text"), text)}
-    seen = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"), *(c.alias(k) for k, c in keys.items()), fingerprints(F.col(text_col), 0, views).alias("fps"))
-    seen = written(seen, f"{folder}/seen")
-    texts = seen.groupBy(h1, h2).agg(F.min("id").alias("least"), F.max("id").alias("most"), F.first("fps").alias("fps"))
-    texts = written(texts.withColumn("node", F.struct(h1, h2)), f"{folder}/texts")
-
-    links = None
-    for v in range(views):
-        fps = texts.select("node", F.col("fps")[v].alias("fp"))
-        first = written(fps.groupBy("fp").agg(F.min("node").alias("first")), f"{folder}/first-{v}")
-        same = fps.join(first, "fp").filter(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b"))
-        between = fingerprint_links(first, f"{folder}/view-{v}", radius)
-        between = between.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-        some = same.unionByName(between.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        links = some if links is None else links.unionByName(some)
-    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = written(links, f"{folder}/links")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, id_col, text_col, n))
+
+    @F.arrow_udf("struct<s1: long, s2: long, size: int, start: array<long>>")
+    def sketched(texts: pa.Array) -> pa.Array:
+        from xxhash import xxh3_128_digest
+
+        whole, sizes, starts = [], [], []
+        for _, group in text_groups(texts):
+            for t in group:
+                hashes = shingle_hashes(t, n)
+                whole.append(xxh3_128_digest(hashes.tobytes()))
+                sizes.append(len(hashes))
+                starts.append(prefix(hashes, common.value, similarity).astype(np.int64))
+        halves = np.frombuffer(b"".join(whole), "<i8").reshape(-1, 2)
+        return pa.StructArray.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int32()), pa.array(starts, pa.list_(pa.int64()))], names=["s1", "s2", "size", "start"])
+
+    seen = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"), *(c.alias(k) for k, c in keys.items()), sketched(F.encode(text, "UTF-8")).alias("s"))
+    texts = seen.groupBy(h1, h2).agg(F.min("id").alias("least"), F.max("id").alias("most"), F.first("s").alias("s"))
+    texts = written(texts.select(h1, h2, "least", "most", "s.*", F.struct(h1, h2).alias("node")), f"{folder}/texts")
+    sets = written(texts.groupBy("s1", "s2").agg(F.min("node").alias("node"), F.min_by("start", "node").alias("start"), F.first("size").alias("size")), f"{folder}/sets")
+    same = texts.select("s1", "s2", F.col("node").alias("a")).join(sets.select("s1", "s2", F.col("node").alias("b")), ["s1", "s2"]).filter(F.col("a") != F.col("b")).select("a", "b")
 
     @F.arrow_udf("boolean")
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([jaccard(x, y, n) >= similarity for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
 
-    linked = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    linked = written(linked.join(texts, "node").select(h1, h2, F.col("least").alias(ident)), f"{folder}/linked")
     own_id = F.coalesce(F.col(id_col).cast("long"), F.lit(last))
-    bodies = _matched(docs.select(own_id.alias(ident), *(c.alias(k) for k, c in keys.items()), F.encode(text, "UTF-8").alias("body")), linked, [h1, h2, ident], "left_semi")
-    bodies = written(bodies.select(F.struct(h1, h2).alias("node"), "body"), f"{folder}/bodies").dropDuplicates(["node"])
-    pairs = links.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
-    true = written(pairs.filter(similar("x", "y")).select("a", "b"), f"{folder}/true")
+
+    def checked(links: DataFrame, step: str) -> DataFrame:
+        """Those of ``links`` (a, b; written) whose whole texts are similar."""
+        linked = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+        linked = written(linked.join(texts, "node").select(h1, h2, F.col("least").alias(ident)), f"{folder}/linked-{step}")
+        bodies = _matched(docs.select(own_id.alias(ident), *(c.alias(k) for k, c in keys.items()), F.encode(text, "UTF-8").alias("body")), linked, [h1, h2, ident], "left_semi")
+        bodies = written(bodies.select(F.struct(h1, h2).alias("node"), "body"), f"{folder}/bodies-{step}").dropDuplicates(["node"])
+        pairs = links.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
+        return written(pairs.filter(similar("x", "y")).select("a", "b"), f"{folder}/true-{step}")
+
+    held = sets.select("node", "size", F.explode("start").alias("shingle"))
+    often = written(held.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1").select("shingle"), f"{folder}/often")
+    held = written(held.join(often, "shingle"), f"{folder}/held")
+    hubs = held.groupBy("shingle").agg(F.min_by("node", F.xxhash64("node", F.col("shingle").bitwiseAND(7))).alias("hub"))
+    hubs = written(hubs, f"{folder}/hubs")
+    star = held.join(hubs, "shingle").filter(F.col("node") != F.col("hub")).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
+    first = written(same.unionByName(star).distinct(), f"{folder}/links-hubs")
+    true = checked(first, "hubs")
+    groups = written(components(true, f"{folder}/hubs-groups"), f"{folder}/groups-hubs")
+
+    placed = held.join(groups, "node", "left").select("shingle", "node", "size", F.coalesce("root", "node").alias("root"))
+    placed = written(placed, f"{folder}/placed")
+    apart = placed.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("shingle")
+    apart = written(apart, f"{folder}/apart")
+    left = written(placed.join(apart, "shingle"), f"{folder}/left")
+    right = left.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "root")))
+    fits = F.least("size", "size_b") >= F.lit(similarity) * F.greatest("size", "size_b") - 1e-9
+    rest = left.join(right, "shingle").filter((F.col("node") > F.col("node_b")) & (F.col("root") != F.col("root_b")) & fits)
+    rest = written(rest.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), f"{folder}/links-rest")
+    true = true.unionByName(checked(rest, "rest"))
 
     groups = written(components(true, folder), f"{folder}/groups").join(texts.select("node", "least"), "node")
     stays = groups.groupBy("root").agg(F.min(F.struct("least", "node")).alias("stays"))

@@ -229,6 +229,21 @@ def test_near_dedup_recall(spark):
     assert len(goes - stay) >= 0.97 * len(goes)
 
 
+def test_near_dedup_finds_links_beside_failed_ones(spark):
+    import itertools
+
+    r = random.Random(3)
+    rows = []
+    for g in range(20):  # same words, so equal fingerprints of word sets; the first document's order is its own
+        words = [f"w{g}x{k}" for k in range(120)]
+        other = r.sample(words, len(words))
+        rows += [(100 * g, " ".join(other)), (100 * g + 1, " ".join(words)), (100 * g + 2, " ".join(words[:60] + [words[61], words[60]] + words[62:]))]
+    sim = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if op8.jaccard(a[1].encode(), b[1].encode(), 5) >= 0.8}
+    assert sim == {(100 * g + 1, 100 * g + 2) for g in range(20)}
+    got = {x.doc_id for x in op8.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d for d, _ in rows if d % 100 != 2}
+
+
 def test_near_dedup_of_odd_rows(spark):
     got = op8.near_dedup(odd(spark))
     assert got.columns == odd(spark).columns
