@@ -244,6 +244,19 @@ def test_near_dedup_finds_links_beside_failed_ones(spark):
     assert got == {d for d, _ in rows if d % 100 != 2}
 
 
+def test_near_dedup_finds_longer_and_cut_copies(spark):
+    r = random.Random(7)
+    rows, pairs = [], 0
+    for i in range(150):
+        words = [f"v{r.randint(0, 5000)}" for _ in range(r.randint(60, 600))]
+        k = len(words) * r.choice([10, 15, 18]) // 100
+        copy = words + [f"v{r.randint(0, 5000)}" for _ in range(k)] if i % 2 else words[: len(words) - k]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+        pairs += op8.jaccard(rows[-2][1].encode(), rows[-1][1].encode(), 5) >= 0.8
+    got = {x.doc_id for x in op8.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert pairs > 120 and len(got) == len(rows) - pairs and got >= {d for d, _ in rows if d % 2 == 0}
+
+
 def test_near_dedup_of_odd_rows(spark):
     got = op8.near_dedup(odd(spark))
     assert got.columns == odd(spark).columns
