@@ -1,7 +1,8 @@
 """Repeated passages across documents, by hashes of sliding sentence spans.
 
 A text is cut into sentences after ``.``, ``!`` or ``?`` before a blank and at line ends;
-a sentence of over 25 words counts as several of 25.  From every sentence a span runs on
+a sentence of 20 words or more counts as several, cut where hashes of its words say, so
+equal passages are cut alike whatever precedes them.  From every sentence a span runs on
 until it has at least ``least_sentences`` sentences and ``least_words`` words.  All spans
 are hashed (words with A-Z in lower case, single blanks between) and met over the whole
 corpus.  Of equal spans the first, by document id and place, stays; sentences covered by
@@ -17,6 +18,8 @@ Spark can't split the partition of a hot span.
 from __future__ import annotations
 
 import re
+import zlib
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,26 +27,43 @@ from pyspark.sql import functions as F
 
 from .common import fresh_name, read_table, shared_folder, text_groups, written
 
-LEAST_SENTENCES, LEAST_WORDS, LONGEST = 2, 20, 25
+LEAST_SENTENCES, LEAST_WORDS, LONGEST, REACH = 2, 20, 25, 3
 END = re.compile(rb"(?<=[.!?])[ \t\x0b\x0c\r]+|\n+")
 NO_ID = (1 << 63) - 1
 SPAN = "doc long, mark long, pos int, n int, h1 long, h2 long"
 
 
+def breaks(words: list[bytes]) -> list[int]:
+    """Places before which a sentence is cut; they depend on the words nearby.
+
+    A cut follows a word whose hash with the one before is the smallest of ``REACH`` on
+    either side.  Parts of 20 words or more without one (repeated words) are cut at steps
+    of half of ``LONGEST``.
+    """
+    h = [zlib.crc32(b, zlib.crc32(a) + 1) for a, b in pairwise(words)]
+    out, last = [], 0
+    for i in range(REACH, len(h)):
+        at = i + 2
+        if i + REACH < len(h) and h[i] < min(h[i - REACH : i]) and h[i] <= min(h[i + 1 : i + REACH + 1]) or at > len(h):
+            if at - last >= LEAST_WORDS:
+                out += range(last + LONGEST // 2, at - 1, LONGEST // 2)
+            if at <= len(h):
+                out.append(at)
+            last = at
+    return out
+
+
 def sentences(text: bytes) -> list[tuple[int, int, list[bytes]]]:
     """(start, end, words) of each sentence in byte offsets; blanks after it belong to it."""
     out, start = [], 0
     for stop in [*(m.end() for m in END.finditer(text)), len(text)]:
         words = text[start:stop].lower().split()
-        if len(words) > LONGEST:
-            at, cuts = start, []
-            for m in re.finditer(rb"\S+\s*", text[start:stop]):
-                cuts.append(start + m.end())
-            for i in range(0, len(words), LONGEST):
-                part = words[i : i + LONGEST]
-                end = stop if i + LONGEST >= len(words) else cuts[i + len(part) - 1]
-                out.append((at, end, part))
-                at = end
+        if len(words) >= LEAST_WORDS:
+            at, ends = start, [start + m.end() for m in re.finditer(rb"\S+\s*", text[start:stop])]
+            ends[-1] = stop
+            for i, j in pairwise([0, *breaks(words), len(words)]):
+                out.append((at, ends[j - 1], words[i:j]))
+                at = ends[j - 1]
         elif words:
             out.append((start, stop, words))
         elif out and stop > start:
@@ -145,7 +165,10 @@ def span_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with ``text_col`` without the removed sentences; other columns as they are."""
+    """``docs`` with ``text_col`` without the removed sentences; other columns as they are.
+
+    Where a removed span follows the rest of a sentence, a line end takes its place.
+    """
     folder = shared_folder(docs.sparkSession, "spans")
     gone = repeated(docs, folder, id_col, text_col, least_sentences, least_words)
     doc, mark, name = (fresh_name(docs, f"__lf_{c}") for c in ("doc", "mark", "gone"))
@@ -159,6 +182,8 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out, last = [], 0
         for a, b in _cover(spans_, len(found)):
             out.append(data[last : found[a][0]])
+            if out[-1] and not END.search(out[-1][-64:].rstrip()[-1:] + b" ") and b"\n" not in out[-1][len(out[-1].rstrip()) :]:
+                out.append(b"\n")  # the rest of a sentence is no part of the next
             last = found[b - 1][1]
         return b"".join([*out, data[last:]]).decode()
 

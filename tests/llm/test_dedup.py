@@ -299,6 +299,23 @@ def test_spans_catch_planted_passages(spark):
     assert kept[0] == rows[0][1] and kept[1] == rows[1][1] and len(kept[3]) < len(rows[3][1]) - 200
 
 
+def test_spans_meet_after_other_lead_ins(spark):
+    r = random.Random(11)
+    some = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+    rows, want = [], set()
+    kinds = [lambda: some(60), lambda: some(120), lambda: some(400), lambda: f"{some(30)}. {some(22)}.", lambda: f"{some(35)}. {some(25)}."]
+    for i in range(100):
+        passage = kinds[i % 5]()
+        for d in (2 * i, 2 * i + 1):
+            rows.append((d, f"{some(12)}. {some(r.randint(1, 19))} {passage} {some(r.randint(1, 19))}. {some(12)}."))
+        want.add(2 * i + 1)
+    lone = some(22)
+    rows += [(900 + k, f"{some(8)}. {lone}. {some(8)}.") for k in range(2)]
+    got = {x.doc_id: x.n_removed for x in op10.span_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {d for d, n in got.items() if n}
+    assert 901 in found and not found - want - {901} and len(found & want) >= 97
+
+
 def test_spans_of_odd_rows(spark):
     assert op10.span_report(odd(spark)).count() == len(ROWS)
     assert op10.dedup_spans(odd(spark)).columns == odd(spark).columns
