@@ -4,7 +4,8 @@ Every picture is reduced to a pyramid of scales.  On each level corners are foun
 (smaller eigenvalue of the local gradient matrix, a local maximum), their direction is
 that of the patch's centre of brightness, and a descriptor is 256 comparisons of pairs of
 smoothed pixels, the pairs being turned to that direction.  Up to ``most_corners``
-corners a picture, strongest first, describe it.
+corners of each tile of about 64 by 64 pixels, strongest first, describe it, so crops of
+large pictures keep enough.
 
 Descriptors are cut into eight 32-bit parts, a hash table each; the query pictures' parts
 are joined with all pictures' parts by table and value.  Pictures that share at least two
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table, shared_folder, written
 
-MOST_CORNERS, RADIUS, LEVELS, STEP = 24, 9, 4, 0.8
+MOST_CORNERS, TILE, RADIUS, LEVELS, STEP = 24, 64, 9, 4, 0.8
 TABLES, BITS = 8, 32
 NEAR, LEAST_INLIERS, LEAST_VOTES = 48, 5, 2
 FEATURES = "xs: array<float>, ys: array<float>, sizes: array<float>, turns: array<float>, bits: binary"
@@ -163,7 +164,12 @@ def describe(picture: np.ndarray | None, most_corners: int = MOST_CORNERS) -> tu
         pyramid[level] = _box(a, 1)
     if not found:
         return None
-    found = sorted(found, key=lambda f: (-f[0], f[1:]))[:most_corners]
+    tall, wide = (max(1, round(side / TILE)) for side in picture.shape)
+    tiles: dict[tuple[int, int], list] = {}
+    for f in sorted(found, key=lambda f: (-f[0], f[1:])):
+        y, x = ((f[i] + 0.5) / STEP ** f[1] for i in (2, 3))
+        tiles.setdefault((int(y * tall / picture.shape[0]), int(x * wide / picture.shape[1])), []).append(f)
+    found = [f for tile in tiles.values() for f in tile[:most_corners]]
     out_x, out_y, sizes, turns, bits = [], [], [], [], []
     for _, level, j, i in found:
         a = pyramid[level]

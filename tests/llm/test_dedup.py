@@ -357,6 +357,15 @@ def test_image_copies(spark):
     assert op7.find_copies(df.limit(0), "id", "picture", F.lit(True)).collect() == []
 
 
+def test_image_crops_of_large_pictures(spark):
+    rows = [(i, pgm(picture(300 + i, 320))) for i in range(6)]
+    for i in range(6):
+        side = (160, 120, 100)[i % 3]
+        rows.append((100 + i, pgm(picture(300 + i, 320)[40 : 40 + side, 70 : 70 + side])))
+    got = {(r.query_id, r.copy_id) for r in op7.find_copies(spark.createDataFrame(rows, "id long, picture binary"), "id", "picture", F.col("id") < 100).collect()}
+    assert got == {(i, 100 + i) for i in range(6)}
+
+
 def test_image_query_finds_equal_vectors(spark, tmp_path):
     r = np.random.default_rng(0)
     v = [[float(x) for x in r.normal(size=64)] for _ in range(60)]
