@@ -7,10 +7,10 @@ smoothed pixels, the pairs being turned to that direction.  Up to ``most_corners
 corners of each tile of about 64 by 64 pixels, strongest first, describe it, so crops of
 large pictures keep enough.
 
-Descriptors are cut into eight 32-bit parts, a hash table each; the query pictures' parts
-are joined with all pictures' parts by table and value.  Pictures that share at least two
-corners are candidates; for those all descriptors are compared and a consensus of one
-similarity transform (scale, turn, shift) over the matched corners must hold.
+All descriptors of the query pictures are compared with all pictures', in blocks, so no
+pair is lost that the consensus would accept: pictures of which at least as many corners
+are near as it needs are candidates.  For those a consensus of one similarity transform
+(scale, turn, shift) over the matched corners must hold.
 
 Equal pictures are merged before anything is described, so a group of copies is one row
 with its members' count.  The installed tables hold no pictures; the query draws one from
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import read_table, shared_folder, written
 
 MOST_CORNERS, TILE, RADIUS, LEVELS, STEP = 24, 64, 9, 4, 0.8
-TABLES, BITS = 8, 32
-NEAR, LEAST_INLIERS, LEAST_VOTES = 48, 5, 2
+BLOCK = 8192
+NEAR, LEAST_INLIERS = 48, 5
 FEATURES = "xs: array<float>, ys: array<float>, sizes: array<float>, turns: array<float>, bits: binary"
 
 
@@ -233,18 +233,52 @@ def features(picture: Column, most_corners: int = MOST_CORNERS) -> Column:
     return described(picture)
 
 
-def table_keys(bits: Column) -> Column:
-    """(corner, key) of each descriptor and hash table."""
+def near_corners(x: np.ndarray, y: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of all descriptors (rows of four uint64) at most ``near`` bits apart."""
+    apart = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+    apart += np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
+    i, j = np.nonzero(apart <= near)
+    rest = np.bitwise_count(x[i, 2:] ^ y[j, 2:]).sum(axis=1, dtype=np.int64)
+    keep = apart[i, j] + rest <= near
+    return i[keep], j[keep]
 
-    @F.arrow_udf("array<struct<corner: int, key: long>>")
-    def cut(data: pa.Array) -> pa.Array:
-        out = []
-        for d in data.to_pylist():
-            keys = np.frombuffer(d, "<u4").reshape(-1, TABLES).astype(np.int64) + (np.arange(TABLES) << BITS)
-            out.append([{"corner": c, "key": k} for c, row in enumerate(keys.tolist()) for k in row])
-        return pa.array(out, pa.list_(pa.struct([("corner", pa.int32()), ("key", pa.int64())])))
 
-    return cut(bits)
+def blocks(described: DataFrame) -> DataFrame:
+    """(digests, counts, bits): runs of at most ``BLOCK`` corners, or one picture, from (digest, bits)."""
+
+    def pack(batches):
+        for batch in batches:
+            digests, counts, bits = [], [], []
+            for d, b in [*zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), (None, b"")]:
+                if digests and (d is None or sum(counts) + len(b) // 32 > BLOCK):
+                    yield pa.RecordBatch.from_arrays([pa.array([digests]), pa.array([counts], pa.list_(pa.int32())), pa.array([b"".join(bits)])], names=["digests", "counts", "bits"])
+                    digests, counts, bits = [], [], []
+                if d is not None:
+                    digests, counts, bits = [*digests, d], [*counts, len(b) // 32], [*bits, b]
+
+    return described.mapInArrow(pack, "digests array<string>, counts array<int>, bits binary")
+
+
+def shared_corners(queries: DataFrame, classes: DataFrame, least: int, folder: str) -> DataFrame:
+    """(q, digest): all pairs in which ``least`` corners of q are near a corner of digest, by comparing all."""
+
+    @F.udf("array<struct<q: string, digest: string>>")
+    def pairs(q_digests, q_counts, q_bits, digests, counts, bits):
+        x, y = np.frombuffer(q_bits, np.uint64).reshape(-1, 4), np.frombuffer(bits, np.uint64).reshape(-1, 4)
+        of_x, of_y = np.repeat(np.arange(len(q_counts)), q_counts), np.repeat(np.arange(len(counts)), counts)
+        met = []
+        for at in range(0, len(x), 64):
+            i, j = near_corners(x[at : at + 64], y, NEAR)
+            met.append(np.unique((i + at) * len(counts) + of_y[j]))
+        corner, other = np.divmod(np.concatenate(met), len(counts))
+        found, votes = np.unique(of_x[corner] * len(counts) + other, return_counts=True)
+        out = [(q_digests[p // len(counts)], digests[p % len(counts)]) for p in found[votes >= least].tolist()]
+        return [(q, d) for q, d in out if q != d]
+
+    tasks = classes.sparkSession.sparkContext.defaultParallelism * 4
+    left = written(blocks(queries), f"{folder}/query-blocks").toDF("q_digests", "q_counts", "q_bits")
+    right = written(blocks(classes), f"{folder}/blocks").repartition(tasks)
+    return right.crossJoin(left).select(F.explode(pairs("q_digests", "q_counts", "q_bits", "digests", "counts", "bits")).alias("p")).select("p.q", "p.digest")
 
 
 def find_copies(pictures: DataFrame, id_col: str, picture_col: str, is_query: Column, most_corners: int = MOST_CORNERS, least_inliers: int = LEAST_INLIERS) -> DataFrame:
@@ -264,11 +298,8 @@ def find_copies(pictures: DataFrame, id_col: str, picture_col: str, is_query: Co
     classes = written(same.select("digest", "copy_id", "n_equal", "asks", features(F.col("picture"), most_corners).alias("f")), f"{folder}/classes")
     asked = written(rows.filter(F.col("asks") & F.col("id").isNotNull()).select("digest", F.col("id").alias("query_id")).distinct(), f"{folder}/asked")
 
-    keys = classes.filter(F.col("f").isNotNull()).select("digest", "asks", F.explode(table_keys(F.col("f.bits"))).alias("k")).select("digest", "asks", "k.corner", "k.key")
-    keys = written(keys, f"{folder}/keys")
-    of_queries = keys.filter("asks").select(F.col("digest").alias("q"), F.col("corner").alias("q_corner"), "key")
-    met = of_queries.join(keys.select("digest", "corner", "key"), "key").filter(F.col("q") != F.col("digest"))
-    votes = met.groupBy("q", "digest").agg(F.count_distinct("q_corner").alias("votes")).filter(F.col("votes") >= LEAST_VOTES)
+    bits = classes.filter(F.col("f").isNotNull()).select("digest", F.col("f.bits").alias("bits"), "asks")
+    votes = shared_corners(bits.filter("asks").drop("asks"), bits.drop("asks"), least_inliers, folder)
     votes = written(votes, f"{folder}/votes")
 
     @F.udf("struct<inliers: int, scale: double, turn: double, dx: double, dy: double>")

@@ -366,6 +366,19 @@ def test_image_crops_of_large_pictures(spark):
     assert got == {(i, 100 + i) for i in range(6)}
 
 
+def test_image_candidates_equal_brute_force(spark):
+    rows, by_hand = [], {}
+    for i in range(40):
+        a, r = picture(500 + i).astype(float), np.random.default_rng(i)
+        ys, xs = np.meshgrid(np.arange(54) * 72 / 54, np.arange(54) * 72 / 54, indexing="ij")
+        copy = [np.clip(a + r.normal(0, 25, a.shape), 0, 255), op7._sample(a, ys, xs), a[12:68, 4:60] + r.normal(0, 12, (56, 56))][i % 3]
+        rows += [(i, pgm(a)), (100 + i, pgm(np.clip(copy, 0, 255)))]
+    seen = [(d, dict(zip(("xs", "ys", "sizes", "turns", "bits"), op7.describe(op7.decode(p))))) for d, p in rows]
+    want = {(q, d) for q, f in seen if q < 100 for d, g in seen if d != q and op7.consensus(f, g)[0] >= op7.LEAST_INLIERS}
+    got = {(r.query_id, r.copy_id) for r in op7.find_copies(spark.createDataFrame(rows, "id long, picture binary"), "id", "picture", F.col("id") < 100).collect()}
+    assert got == want and len(want) >= 20
+
+
 def test_image_query_finds_equal_vectors(spark, tmp_path):
     r = np.random.default_rng(0)
     v = [[float(x) for x in r.normal(size=64)] for _ in range(60)]
