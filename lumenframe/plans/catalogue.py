@@ -146,6 +146,7 @@ same("join_anti", "customer orders", "SELECT c_custkey FROM customer ANTI JOIN o
 same("join_using", "lineitem", "SELECT l_orderkey, a.n AS n, b.q AS q FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) a JOIN (SELECT l_orderkey, max(l_quantity) AS q FROM lineitem GROUP BY 1) b USING (l_orderkey)")
 same("join_natural", "nation region", "SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) a NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region) b")
 same("join_theta", "part", "SELECT a.p_partkey AS x, b.p_partkey AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size < b.p_size AND a.p_retailprice > b.p_retailprice WHERE a.p_partkey <= 300 AND b.p_partkey <= 300")
+same("join_theta_all", "part", "SELECT a.p_partkey AS x, b.p_partkey AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size < b.p_size AND a.p_retailprice > b.p_retailprice")
 same("join_nested", "customer orders nation", "SELECT n_name, c_custkey, o_orderkey FROM nation LEFT JOIN (customer JOIN orders ON c_custkey = o_custkey) ON n_nationkey = c_nationkey")
 same("join_chain", "customer orders lineitem nation region", "SELECT r_name, count(*) AS n, round(sum(l_extendedprice), 2) AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 same("subq_scalar", "orders", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)")
@@ -401,16 +402,25 @@ def pattern_v(spark, read):
     return found.groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT c_custkey, l_partkey FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey WHERE c_custkey < 100")
-def graph_two_hop(spark, read):
+def _two_hop(read, customers):
     buys = read("orders").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst"))
     holds = read("lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
     graph = relations.Graph(read("customer"), buys.unionByName(holds))
-    starts = read("customer").filter("c_custkey < 100").select(F.concat(F.lit("c"), "c_custkey").alias("c"))
+    starts = customers.select(F.concat(F.lit("c"), "c_custkey").alias("c"))
     two = graph.hop(graph.hop(starts, "c", "o"), "o", "p").select("c", "p").distinct()
     return two.select(F.substring("c", 2, 20).cast("long").alias("c_custkey"), F.substring("p", 2, 20).cast("long").alias("l_partkey"))
 
 
+@query("SELECT DISTINCT c_custkey, l_partkey FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey WHERE c_custkey < 100")
+def graph_two_hop(spark, read):
+    return _two_hop(read, read("customer").filter("c_custkey < 100"))
+
+
+@query("SELECT DISTINCT c_custkey, l_partkey FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey")
+def graph_two_hop_all(spark, read):
+    return _two_hop(read, read("customer"))
+
+
 @query("SELECT * REPLACE (CASE WHEN o_orderstatus = 'P' THEN 0.0 ELSE o_totalprice END AS o_totalprice) FROM orders")
 def dml_update(spark, read):
     return relations.update(read("orders"), F.col("o_orderstatus") == "P", o_totalprice=F.lit(0.0))

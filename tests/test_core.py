@@ -23,6 +23,14 @@ def test_query(spark, name):
         df.collect()
 
 
+@pytest.mark.parametrize("name", ["join_theta_all", "graph_two_hop_all"])
+def test_whole_tables(spark, name):
+    sf = "/root/testdata/sf0.01"
+    df = catalogue.QUERIES[name](spark, sf)
+    assert differences(df, catalogue.ORACLE_SQL[name], sf) is None
+    assert df.agg(F.max(df.columns[0])).first()[0] > 300
+
+
 def test_streams_equal_batches(spark, tmp_path):
     e = tables.table(spark, SF, "events")
     e.repartition(3).write.parquet(f"{tmp_path}/in")
