@@ -31,6 +31,7 @@ WORDS, RADIUS, SEED = 3, 3, 42
 SHARD, MOST_SHARDS, SAMPLE_A_SHARD = 8192, 4096, 48
 BROADCAST_ROWS = 500_000
 SAMPLE_DOCS, MOST_COMMON = 20_000, 65_536
+SIGNATURE = 512
 LEAF = 48
 ALL_BYTES = np.array([[b >> i & 1 for i in range(8)] for b in range(256)], np.int32)
 
@@ -260,18 +261,43 @@ def shingle_hashes(text: bytes, n: int) -> np.ndarray:
     return np.unique(out)
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """So many of ascending ``hashes``, those not in ``common`` first, that two sets of at least the similarity share one.
+def ordered(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``hashes`` in one order of all shingles: by their count among the ``common`` ones (others: 0), then by hash."""
+    if not len(common):
+        return np.sort(hashes)
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    return hashes[np.lexsort((hashes, np.where(common[at] == hashes, counts[at], 0)))]
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    """So many of n shingles, the first in one order, that two sets of at least the similarity share one.
 
     Such sets share at least ``similarity`` of each, so each has one of the shared among
     all but that share of its own, plus one; the first of the shared in the order is in both.
     """
-    late = np.isin(hashes, common, assume_unique=True)
-    return np.concatenate([hashes[~late], hashes[late]])[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """Parities of ``hashes`` by their lowest bits: two sets differ in at least as many shingles as signatures in bits."""
+    odd = np.bincount((hashes % np.uint64(SIGNATURE)).astype(np.int64), minlength=SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+def may_be_similar(similarity: float) -> Column:
+    """Whether sets that share a shingle, at ``pos`` and ``pos_b`` in the order, can be similar enough.
+
+    False only for pairs that aren't, or whose first shared shingle is another one.
+    """
+    sizes = F.col("size") + F.col("size_b")
+    shared = F.lit(similarity / (1 + similarity)) * sizes - 1e-6
+    apart = sum((F.bit_count(F.col("sig")[i].bitwiseXOR(F.col("sig_b")[i])) for i in range(SIGNATURE // 64)), F.lit(0))
+    fits = F.least("size", "size_b") >= F.lit(similarity) * F.greatest("size", "size_b") - 1e-6
+    return fits & (F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b")) >= shared) & (apart <= sizes - 2 * shared)
 
 
-def common_shingles(docs: DataFrame, id_col: str, text_col: str, n: int) -> np.ndarray:
-    """Hashes of shingles that many documents of a bounded sample hold; they only order the prefixes."""
+def common_shingles(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of shingles that many documents of a bounded sample hold; they only order the shingles."""
 
     @F.arrow_udf("array<long>")
     def all_of(texts: pa.Array) -> pa.Array:
@@ -281,7 +307,9 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, n: int) -> np.n
     some = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30)))
     held = some.select(F.explode(all_of(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))).alias("shingle")).groupBy("shingle").count()
     top = held.filter("count > 3").orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).collect()
-    return np.sort(np.array([r.shingle for r in top], np.int64)).astype(np.uint64)
+    hashes, counts = np.array([r.shingle for r in top], np.int64).astype(np.uint64), np.array([r["count"] for r in top], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -290,11 +318,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Two documents are linked if the sets of n-word shingles of their whole texts have at
     least the similarity; groups are the connected components of all such links.
 
-    Candidates are exact: each set's prefix in one order of all shingles (see ``prefix``)
-    is met with the others'.  Equal sets are one set.  First each holder of a shingle is
-    checked against one of up to eight hubs of it, which joins groups of many copies by
-    few checks.  Then every pair of holders that is not in one group by then and whose
-    sizes allow the similarity is checked, so a failed check closes no other.
+    Candidates are exact: each set's prefix in one order of all shingles, the rare first
+    (see ``prefix_size``), is met with the others'.  Equal sets are one set.  Sizes, places in the order
+    and signatures rule out most that aren't similar (see ``may_be_similar``) before any
+    text is fetched.  First each holder of a shingle is checked against one of up to eight
+    hubs of it, which joins groups of many copies by few checks.  Then every pair of
+    holders that is not in one group by then is checked, so a failed check closes no other.
 
     Equal texts are one document (null and empty are equal), null ids come last; rows
     equal in id and text stay or go together; other columns are kept as they are; an
@@ -307,24 +336,25 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = {h1: F.xxhash64(text), h2: F.xxhash64(F.lit("text"), text)}
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, id_col, text_col, n))
 
-    @F.arrow_udf("struct<s1: long, s2: long, size: int, start: array<long>>")
+    @F.arrow_udf("struct<s1: long, s2: long, size: int, start: array<long>, sig: array<long>>")
     def sketched(texts: pa.Array) -> pa.Array:
         from xxhash import xxh3_128_digest
 
-        whole, sizes, starts = [], [], []
+        whole, sizes, starts, signatures = [], [], [], []
         for _, group in text_groups(texts):
             for t in group:
                 hashes = shingle_hashes(t, n)
                 whole.append(xxh3_128_digest(hashes.tobytes()))
                 sizes.append(len(hashes))
-                starts.append(prefix(hashes, common.value, similarity).astype(np.int64))
+                starts.append(ordered(hashes, *common.value)[: prefix_size(len(hashes), similarity)].astype(np.int64))
+                signatures.append(signature(hashes))
         halves = np.frombuffer(b"".join(whole), "<i8").reshape(-1, 2)
-        return pa.StructArray.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int32()), pa.array(starts, pa.list_(pa.int64()))], names=["s1", "s2", "size", "start"])
+        return pa.StructArray.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int32()), pa.array(starts, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64()))], names=["s1", "s2", "size", "start", "sig"])
 
     seen = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"), *(c.alias(k) for k, c in keys.items()), sketched(F.encode(text, "UTF-8")).alias("s"))
     texts = seen.groupBy(h1, h2).agg(F.min("id").alias("least"), F.max("id").alias("most"), F.first("s").alias("s"))
     texts = written(texts.select(h1, h2, "least", "most", "s.*", F.struct(h1, h2).alias("node")), f"{folder}/texts")
-    sets = written(texts.groupBy("s1", "s2").agg(F.min("node").alias("node"), F.min_by("start", "node").alias("start"), F.first("size").alias("size")), f"{folder}/sets")
+    sets = written(texts.groupBy("s1", "s2").agg(F.min("node").alias("node"), F.min_by("start", "node").alias("start"), F.first("size").alias("size"), F.first("sig").alias("sig")), f"{folder}/sets")
     same = texts.select("s1", "s2", F.col("node").alias("a")).join(sets.select("s1", "s2", F.col("node").alias("b")), ["s1", "s2"]).filter(F.col("a") != F.col("b")).select("a", "b")
 
     @F.arrow_udf("boolean")
@@ -342,24 +372,24 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = links.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
         return written(pairs.filter(similar("x", "y")).select("a", "b"), f"{folder}/true-{step}")
 
-    held = sets.select("node", "size", F.explode("start").alias("shingle"))
+    traits = ("node", "size", "pos", "sig")
+    held = sets.select("node", "size", "sig", F.posexplode("start").alias("pos", "shingle"))
     often = written(held.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1").select("shingle"), f"{folder}/often")
     held = written(held.join(often, "shingle"), f"{folder}/held")
-    hubs = held.groupBy("shingle").agg(F.min_by("node", F.xxhash64("node", F.col("shingle").bitwiseAND(7))).alias("hub"))
-    hubs = written(hubs, f"{folder}/hubs")
-    star = held.join(hubs, "shingle").filter(F.col("node") != F.col("hub")).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
+    hubs = held.groupBy("shingle").agg(F.min_by(F.struct(*traits), F.xxhash64("node", F.col("shingle").bitwiseAND(7))).alias("hub"))
+    hubs = written(hubs.select("shingle", *(F.col("hub")[c].alias(f"{c}_b") for c in traits)), f"{folder}/hubs")
+    star = held.join(hubs, "shingle").filter((F.col("node") != F.col("node_b")) & may_be_similar(similarity)).select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b"))
     first = written(same.unionByName(star).distinct(), f"{folder}/links-hubs")
     true = checked(first, "hubs")
     groups = written(components(true, f"{folder}/hubs-groups"), f"{folder}/groups-hubs")
 
-    placed = held.join(groups, "node", "left").select("shingle", "node", "size", F.coalesce("root", "node").alias("root"))
+    placed = held.join(groups, "node", "left").select("shingle", *traits, F.coalesce("root", "node").alias("root"))
     placed = written(placed, f"{folder}/placed")
     apart = placed.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("shingle")
     apart = written(apart, f"{folder}/apart")
     left = written(placed.join(apart, "shingle"), f"{folder}/left")
-    right = left.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "root")))
-    fits = F.least("size", "size_b") >= F.lit(similarity) * F.greatest("size", "size_b") - 1e-9
-    rest = left.join(right, "shingle").filter((F.col("node") > F.col("node_b")) & (F.col("root") != F.col("root_b")) & fits)
+    right = left.select("shingle", *(F.col(c).alias(f"{c}_b") for c in (*traits, "root")))
+    rest = left.join(right, "shingle").filter((F.col("node") > F.col("node_b")) & (F.col("root") != F.col("root_b")) & may_be_similar(similarity))
     rest = written(rest.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), f"{folder}/links-rest")
     true = true.unionByName(checked(rest, "rest"))
 
