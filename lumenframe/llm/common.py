@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: The C library's call that returns free memory, where it has one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
 
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder name that the driver and all executors reach.
@@ -94,3 +99,12 @@ def text_groups(texts, most: int = 2 << 20, rows: int = 64):
                 start, size, group = start + len(group), 0, []
     if group:
         yield start, group
+    del group
+    released()
+
+
+def released() -> None:
+    """Give what a run of texts held back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)

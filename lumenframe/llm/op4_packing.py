@@ -125,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         out, docs_in_block = _Block(capacity, TaskContext.get().partitionId() << 40), 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for first, group in text_groups(batch.column(1), 8 << 20):
+            for first, group in text_groups(batch.column(1), 4 << 20):
                 for i, data in enumerate(encode(group), first):
                     data += end
                     view, n, at = memoryview(data), len(data) // 4, 0
