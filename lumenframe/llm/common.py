@@ -17,16 +17,18 @@ _trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" el
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder name that the driver and all executors reach.
 
-    It lies in ``spark.checkpoint.dir``; only where that is unset (a plain local
-    session) a temporary folder is made and set as the checkpoint folder.
+    It lies in ``spark.checkpoint.dir``; only a local session may lack that setting, and gets
+    a temporary folder.  A path without a scheme lies in Hadoop's default file system, as everywhere in Spark.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         base = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
-        spark.sparkContext.setCheckpointDir(base)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + os.path.abspath(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        context.setCheckpointDir(base)
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def written(df: DataFrame, folder: str) -> DataFrame:
@@ -35,6 +37,12 @@ def written(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that no later step reads, through Hadoop, whatever its store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,7 +69,8 @@ class Files:
         else:
             from pyarrow import fs
 
-            self.fs, self.root = fs.FileSystem.from_uri(folder)
+            scheme, _, rest = folder.partition("://")
+            self.fs, self.root = fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else folder)  # pyarrow knows one name
 
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"

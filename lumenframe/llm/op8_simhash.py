@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_name, read_table, shared_folder, text_groups, written
+from .common import fresh_name, read_table, removed, shared_folder, text_groups, written
 from .near import components
 
 WORDS, RADIUS, SEED = 3, 3, 42
@@ -32,6 +32,8 @@ SHARD, MOST_SHARDS, SAMPLE_A_SHARD = 8192, 4096, 48
 BROADCAST_ROWS = 500_000
 SAMPLE_DOCS, MOST_COMMON = 20_000, 65_536
 SIGNATURE = 512
+#: Sets of fewer shingles are met exactly; pairs of others are lost with this probability at most.
+SHORT, LOSS, ROWS = 100, 1e-6, 3
 LEAF = 48
 ALL_BYTES = np.array([[b >> i & 1 for i in range(8)] for b in range(256)], np.int32)
 
@@ -278,6 +280,38 @@ def prefix_size(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - 1e-9)) + 1
 
 
+def bands(similarity: float) -> int:
+    """So many keys of ``ROWS`` smallest hashes that sets of the similarity share none with probability ``LOSS`` at most."""
+    return int(np.ceil(np.log(LOSS) / np.log1p(-min(similarity, 1 - 1e-9) ** ROWS)))
+
+
+def smallest(hashes: np.ndarray, n: int) -> np.ndarray:
+    """``n`` keys, each of the smallest of ``hashes`` in ``ROWS`` random orders."""
+    draws = np.random.default_rng(8).integers(0, 1 << 63, (2, n * ROWS), np.int64).astype(np.uint64)
+    least = np.full(n * ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, ((hashes[None, at : at + 4096] ^ draws[0, :, None]) * (draws[1, :, None] | np.uint64(1))).min(axis=1))
+    out = np.arange(n, dtype=np.uint64)
+    for row in least.reshape(n, ROWS).T:
+        out = mixed(out ^ row, 5)
+    return out
+
+
+def meeting_keys(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """(keys at which a set meets others, how many of them are its prefix).
+
+    Two similar sets, of which one has fewer than ``SHORT`` shingles, both have fewer than ``SHORT`` over the
+    similarity, and share a shingle of their prefixes; others share a key of smallest hashes but for ``LOSS``.
+    """
+    keys, lead = [], 0
+    if similarity * len(hashes) < SHORT:
+        keys.append(ordered(hashes, common, counts)[: prefix_size(len(hashes), similarity)])
+        lead = len(keys[0])
+    if len(hashes) >= SHORT:
+        keys.append(smallest(hashes, bands(similarity)))
+    return np.concatenate(keys), lead
+
+
 def signature(hashes: np.ndarray) -> np.ndarray:
     """Parities of ``hashes`` by their lowest bits: two sets differ in at least as many shingles as signatures in bits."""
     odd = np.bincount((hashes % np.uint64(SIGNATURE)).astype(np.int64), minlength=SIGNATURE) & 1
@@ -318,10 +352,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Two documents are linked if the sets of n-word shingles of their whole texts have at
     least the similarity; groups are the connected components of all such links.
 
-    Candidates are exact: each set's prefix in one order of all shingles, the rare first
-    (see ``prefix_size``), is met with the others'.  Equal sets are one set.  Sizes, places in the order
-    and signatures rule out most that aren't similar (see ``may_be_similar``) before any
-    text is fetched.  First each holder of a shingle is checked against one of up to eight
+    Sets that share one of a few keys (see ``meeting_keys``) are candidates; a similar pair of long texts is
+    no candidate with probability ``LOSS`` at most, of short ones never.  Equal sets are one set.
+    Sizes, places in the order and signatures rule out most that aren't similar (see
+    ``may_be_similar``) before any text is fetched, and whole texts decide.  First each holder of a shingle is checked against one of up to eight
     hubs of it, which joins groups of many copies by few checks.  Then every pair of
     holders that is not in one group by then is checked, so a failed check closes no other.
 
@@ -336,25 +370,30 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = {h1: F.xxhash64(text), h2: F.xxhash64(F.lit("text"), text)}
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, id_col, text_col, n))
 
-    @F.arrow_udf("struct<s1: long, s2: long, size: int, start: array<long>, sig: array<long>>")
+    @F.arrow_udf("struct<s1: long, s2: long, size: int, lead: int, start: array<long>, sig: array<long>>")
     def sketched(texts: pa.Array) -> pa.Array:
         from xxhash import xxh3_128_digest
 
-        whole, sizes, starts, signatures = [], [], [], []
+        whole, sizes, leads, starts, signatures = [], [], [], [], []
         for _, group in text_groups(texts):
             for t in group:
                 hashes = shingle_hashes(t, n)
                 whole.append(xxh3_128_digest(hashes.tobytes()))
                 sizes.append(len(hashes))
-                starts.append(ordered(hashes, *common.value)[: prefix_size(len(hashes), similarity)].astype(np.int64))
+                start, lead = meeting_keys(hashes, *common.value, similarity)
+                starts.append(start.astype(np.int64))
+                leads.append(lead)
                 signatures.append(signature(hashes))
         halves = np.frombuffer(b"".join(whole), "<i8").reshape(-1, 2)
-        return pa.StructArray.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int32()), pa.array(starts, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64()))], names=["s1", "s2", "size", "start", "sig"])
+        return pa.StructArray.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int32()), pa.array(leads, pa.int32()), pa.array(starts, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64()))], names=["s1", "s2", "size", "lead", "start", "sig"])
 
     seen = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"), *(c.alias(k) for k, c in keys.items()), sketched(F.encode(text, "UTF-8")).alias("s"))
     texts = seen.groupBy(h1, h2).agg(F.min("id").alias("least"), F.max("id").alias("most"), F.first("s").alias("s"))
-    texts = written(texts.select(h1, h2, "least", "most", "s.*", F.struct(h1, h2).alias("node")), f"{folder}/texts")
-    sets = written(texts.groupBy("s1", "s2").agg(F.min("node").alias("node"), F.min_by("start", "node").alias("start"), F.first("size").alias("size"), F.first("sig").alias("sig")), f"{folder}/sets")
+    texts = written(texts.select(h1, h2, "least", "most", "s.*", F.struct(h1, h2).alias("node")), f"{folder}/sketches")
+    sets = texts.groupBy("s1", "s2").agg(F.min("node").alias("node"), F.first(F.struct("size", "lead", "start", "sig")).alias("s"))
+    sets = written(sets.select("s1", "s2", "node", "s.*"), f"{folder}/sets")
+    texts = written(texts.select(h1, h2, "least", "most", "s1", "s2", "node"), f"{folder}/texts")
+    removed(docs.sparkSession, f"{folder}/sketches")
     same = texts.select("s1", "s2", F.col("node").alias("a")).join(sets.select("s1", "s2", F.col("node").alias("b")), ["s1", "s2"]).filter(F.col("a") != F.col("b")).select("a", "b")
 
     @F.arrow_udf("boolean")
@@ -373,7 +412,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return written(pairs.filter(similar("x", "y")).select("a", "b"), f"{folder}/true-{step}")
 
     traits = ("node", "size", "pos", "sig")
-    held = sets.select("node", "size", "sig", F.posexplode("start").alias("pos", "shingle"))
+    held = sets.select("node", "size", "sig", "lead", F.posexplode("start").alias("at", "shingle"))
+    held = held.select("shingle", "node", "size", "sig", F.when(F.col("at") < F.col("lead"), F.col("at")).otherwise(0).alias("pos"))
     often = written(held.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1").select("shingle"), f"{folder}/often")
     held = written(held.join(often, "shingle"), f"{folder}/held")
     hubs = held.groupBy("shingle").agg(F.min_by(F.struct(*traits), F.xxhash64("node", F.col("shingle").bitwiseAND(7))).alias("hub"))
@@ -385,9 +425,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     placed = held.join(groups, "node", "left").select("shingle", *traits, F.coalesce("root", "node").alias("root"))
     placed = written(placed, f"{folder}/placed")
+    removed(docs.sparkSession, f"{folder}/held")
     apart = placed.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("shingle")
     apart = written(apart, f"{folder}/apart")
     left = written(placed.join(apart, "shingle"), f"{folder}/left")
+    removed(docs.sparkSession, f"{folder}/placed")
     right = left.select("shingle", *(F.col(c).alias(f"{c}_b") for c in (*traits, "root")))
     rest = left.join(right, "shingle").filter((F.col("node") > F.col("node_b")) & (F.col("root") != F.col("root_b")) & may_be_similar(similarity))
     rest = written(rest.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), f"{folder}/links-rest")
