@@ -187,9 +187,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Rules from labelled documents that pass the base; ids with null or unequal labels are left out."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z"), F.count("*").alias("n"), F.count("y").alias("m"))
     known = known.filter((F.col("y") == F.col("z")) & (F.col("n") == F.col("m")) & F.col("id").isNotNull() & F.col("y").isin(0, 1))
-    known = written(known.orderBy(F.xxhash64("id"), "id").limit(most_rows).select("id", "y"), shared_folder(docs.sparkSession, "labels"))
+    folder = shared_folder(docs.sparkSession, "labels")
+    known = written(known.orderBy(F.xxhash64("id"), "id").limit(most_rows).select("id", "y"), f"{folder}/known")
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
-    some = some.select("id", "y", stats_column(F.col("text")).alias("s"))
+    # written first: else the filter on statistics moves below the join, and every document gets them
+    some = written(some, f"{folder}/texts").repartition(docs.sparkSession.sparkContext.defaultParallelism).select("id", "y", stats_column(F.col("text")).alias("s"))
     some = some.filter(~base_failed(F.col("s")))
     wide = some.select("id", "y", *(c.alias(k) for k, c in features_of(F.col("s")).items())).orderBy(F.xxhash64("id", F.lit(1)), "id", *RATIOS).limit(most_rows)
     rows = wide.toPandas()
