@@ -30,6 +30,7 @@ from .common import Files, read_table, shared_folder, written
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES, LEAST_BYTES = 1 << 20, 512 << 20, 1000
+FETCH_BYTES = 8 << 20
 INDEX = "page_id long, bundle string, frame long, offset long, length long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
@@ -159,7 +160,8 @@ class Archive:
                                 rows.append((None if name == "none" else int(name), int(http["Content-Length"]), digest, kind, int(refers[10:-1]) if refers else None, head["WARC-Target-URI"], payload if payloads and kind == "response" else None))
                             yield _batch(rows, RECORD)
 
-        return self.index.select("bundle").distinct().repartition(F.col("bundle")).mapInArrow(task, RECORD)
+        names = written(self.index.select("bundle").distinct(), shared_folder(self.index.sparkSession, "bundles"))
+        return names.repartition(max(1, names.count())).mapInArrow(task, RECORD)  # names are too small for Spark to tell how much they stand for
 
     def fetch(self, places: DataFrame) -> DataFrame:
         """The raw records at ``places`` (rows of the index): page_id, record."""
@@ -168,15 +170,27 @@ class Archive:
         def task(batches):
             import zstandard
 
-            files, decompress = Files(f"{folder}/bundles"), zstandard.ZstdDecompressor()
+            files, decompress, file, now, at = Files(f"{folder}/bundles"), zstandard.ZstdDecompressor(), None, (None, None), []
             for batch in batches:
+                rows = []
                 for page_id, bundle, frame, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
-                    with files.reader(bundle) as file:
-                        at, size = seek_table(file)[frame]
-                        file.seek(at)
-                        yield _batch([(page_id, decompress.decompress(file.read(size))[offset : offset + length])], schema)
-
-        return places.select(*(c.split()[0] for c in INDEX.split(", "))).mapInArrow(task, schema)
+                    if bundle != now[0]:
+                        if file is not None:
+                            file.close()
+                        file = files.reader(bundle)
+                        at = seek_table(file)
+                    if (bundle, frame) != now:
+                        file.seek(at[frame][0])
+                        data, now = decompress.decompress(file.read(at[frame][1])), (bundle, frame)
+                    rows.append((page_id, data[offset : offset + length]))
+                    if sum(len(r) for _, r in rows[-64:]) > FETCH_BYTES or len(rows) >= 1000:
+                        yield _batch(rows, schema)
+                        rows = []
+                yield _batch(rows, schema)
+            if file is not None:
+                file.close()
+
+        return places.select(*(c.split()[0] for c in INDEX.split(", "))).sortWithinPartitions("bundle", "frame", "offset").mapInArrow(task, schema)
 
 
 def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> Archive:
