@@ -3,14 +3,16 @@
 Every source gets a target number of words: all words are shared by weight, no target
 above ``most`` times its source's words, what is above being shared again.  A document of
 a source with target T and size S is expected T / S times.  The whole part of that are
-certain copies; for the rest, a fraction p, each document has a random u from its id and
+certain copies; for the rest, a fraction, each document has an inclusion probability p,
+that fraction times 1 + the whole root of its size (over the source's mean, words counted), at
+most 1, so that long texts, which are few, are drawn more often.  Each document has a random u from its id and
 the seed, its odds u / (1 - u) are divided by the inclusion odds p / (1 - p), and the
 documents with the smallest quotients are taken until the source's target is met (to the
-nearest document).  With ``weight_col``, p is in proportion to the document's weight.
+nearest document).  With ``weight_col``, copies are in proportion to the document's weight instead.
 
 No source is sorted as a whole: words are first summed over 65,536 ranges of the quotient,
-and only the range in which the target is met is sorted.  What is left is one threshold
-a source, against which documents are filtered.
+these over 256 wider ones, and only the range in which the target is met is sorted.  What is
+left is one threshold a source, against which documents are filtered.
 
 DataFrame functions only.  A null source is a source of its own, the last; a null text has
 size 0; a null id draws like an id of its own; rows with equal id and size in one source
@@ -69,9 +71,17 @@ def _drawn(sizes: DataFrame, most: int) -> DataFrame:
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.least(ratio * F.col("weight"), F.lit(float(most)))
     whole = F.floor(copies)
-    p = copies - whole
+    p = (copies - whole) * F.col("tilt")
     odds = (F.col("u") / (1 - F.col("u"))) / F.when(p > 0, p / (1 - p))
-    return sizes.withColumns({"whole": whole, "quotient": odds / (1 + odds)})
+    return sizes.withColumns({"whole": whole, "quotient": F.when(p >= 1, F.lit(0.0)).otherwise(odds / (1 + odds))})
+
+
+def _scaled(rows: DataFrame, weighted: bool) -> DataFrame:
+    """Weights over their source's mean, and ``tilt``, which makes inclusion probabilities unequal where no weights do."""
+    over = F.when(F.col("scale") > 0, F.col("weight") / F.col("scale"))
+    if weighted:
+        return rows.withColumns({"weight": over.otherwise(F.lit(1.0)), "tilt": F.lit(1.0)})
+    return rows.withColumns({"weight": F.lit(1.0), "tilt": over.otherwise(F.lit(0.0))})
 
 
 def _joined(left: DataFrame, small: DataFrame, rows: int) -> DataFrame:
@@ -81,7 +91,8 @@ def _joined(left: DataFrame, small: DataFrame, rows: int) -> DataFrame:
 
 
 def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | None, seed: int) -> dict[str, Column]:
-    weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
+    root = F.floor(F.sqrt(n_words(F.col(text_col)).cast("double"))) + 1
+    weight = root if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
     return {"doc_id": F.col(id_col), "source": F.col(source_col), "size": n_words(F.col(text_col)), "u": uniform(F.col(id_col), seed), "weight": weight}
 
 
@@ -94,20 +105,23 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_co
     folder = shared_folder(docs.sparkSession, "mix")
     sizes = written(docs.select(*(c.alias(n) for n, c in _sizes(docs, id_col, text_col, source_col, weight_col, seed).items())), f"{folder}/sizes")
     targets = source_targets(sizes, weights, most)
-    if weight_col is not None:
-        mean = sizes.groupBy(F.col("source").alias("s")).agg((F.sum(F.col("weight") * F.col("size")) / F.sum("size")).alias("scale"))
-        targets = targets.join(mean, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    else:
-        targets = targets.withColumn("scale", F.lit(1.0))
+    mean = sizes.groupBy(F.col("source").alias("s")).agg((F.sum(F.col("weight") * F.col("size")) / F.nullif(F.sum("size"), F.lit(0))).alias("scale"))
+    targets = targets.join(mean, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     targets = written(targets, f"{folder}/targets")
     n = targets.count()
-    drawn = _drawn(_joined(sizes, targets, n).withColumn("weight", F.when(F.col("scale") > 0, F.col("weight") / F.col("scale")).otherwise(F.lit(1.0))), most)
+    drawn = _drawn(_scaled(_joined(sizes, targets, n), weight_col is not None), most)
 
     ranges = drawn.groupBy("source", F.least(F.floor(F.col("quotient") * RANGES), F.lit(RANGES - 1)).alias("range")).agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("sure"), F.first("target").alias("target"))
     ranges = written(ranges, f"{folder}/ranges")
     by_source = Window.partitionBy("source")
-    met = ranges.withColumn("rest", F.col("target") - F.sum("sure").over(by_source)).filter(F.col("range").isNotNull())
-    met = met.withColumn("before", F.coalesce(F.sum("words").over(by_source.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    below = Window.unboundedPreceding, -1
+    wide = ranges.groupBy("source", F.floor(F.col("range") / 256).alias("part")).agg(F.sum("words").alias("words"), F.sum("sure").alias("sure"), F.first("target").alias("target"))
+    wide = wide.withColumn("rest", F.col("target") - F.sum("sure").over(by_source)).filter(F.col("part").isNotNull())
+    wide = wide.withColumn("before", F.coalesce(F.sum("words").over(by_source.orderBy("part").rowsBetween(*below)), F.lit(0)))
+    wide = wide.filter(F.col("before") < F.col("rest")).groupBy("source").agg(F.max_by(F.struct("part", "before", "rest"), "part").alias("m")).select("source", "m.*")
+    wide = written(wide, f"{folder}/wide")
+    met = _joined(ranges.filter(F.col("range").isNotNull()), wide, n).filter(F.floor(F.col("range") / 256) == F.col("part"))
+    met = met.withColumn("before", F.col("before") + F.coalesce(F.sum("words").over(by_source.orderBy("range").rowsBetween(*below)), F.lit(0)))
     met = met.filter(F.col("before") < F.col("rest")).groupBy("source").agg(F.max_by(F.struct("range", "before", "rest"), "range").alias("m")).select("source", "m.*")
     met = written(met, f"{folder}/met")
 
@@ -122,10 +136,9 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_co
     return sizes, thresholds, n
 
 
-def copies_of(rows: DataFrame, thresholds: DataFrame, n: int, most: int = MOST) -> DataFrame:
+def copies_of(rows: DataFrame, thresholds: DataFrame, n: int, most: int = MOST, weighted: bool = False) -> DataFrame:
     """Adds ``copies`` to rows with doc_id, source, size, u and weight."""
-    joined = _joined(rows, thresholds, n)
-    drawn = _drawn(joined.withColumn("weight", F.when(F.col("scale") > 0, F.col("weight") / F.col("scale")).otherwise(F.lit(1.0))), most)
+    drawn = _drawn(_scaled(_joined(rows, thresholds, n), weighted), most)
     extra = F.coalesce(F.col("quotient").isNotNull() & (F.struct("quotient", "doc_id", "size") <= F.col("edge")), F.lit(False))
     return drawn.withColumn("copies", F.col("whole") + extra.cast("long"))
 
@@ -137,7 +150,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     row = fresh_name(docs, "__lf_row")
     own = _sizes(docs, id_col, text_col, source_col, weight_col, seed)
     rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias(row), *(c.alias(k) for k, c in own.items()))
-    taken = copies_of(rows, thresholds, n, most).filter(F.col("copies") > 0)
+    taken = copies_of(rows, thresholds, n, most, weight_col is not None).filter(F.col("copies") > 0)
     return taken.select(row, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(f"{row}.*")
 
 
@@ -160,9 +173,10 @@ l AS (SELECT *, bound::DOUBLE / w AS ratio,
   FROM w WINDOW o AS (ORDER BY bound::DOUBLE / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 level AS (SELECT arg_min(own, ratio) AS level FROM l WHERE own * w <= bound),
 t AS (SELECT source, source_size, least(bound::DOUBLE, coalesce(level * w, bound::DOUBLE)) AS target FROM l, level),
-c AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS copies FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-q AS (SELECT *, floor(copies) AS whole, copies - floor(copies) AS p FROM c),
-k AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS odds FROM q),
+c AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS copies,
+    (floor(sqrt(size::DOUBLE)) + 1) / (sum((floor(sqrt(size::DOUBLE)) + 1) * size) OVER (PARTITION BY d.source) / nullif(source_size, 0)) AS tilt FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, floor(copies) AS whole, (copies - floor(copies)) * coalesce(tilt, 0) AS p FROM c),
+k AS (SELECT *, CASE WHEN p >= 1 THEN 0 WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM q),
 s AS (SELECT *, target - sum(whole * size) OVER (PARTITION BY source) AS rest,
     coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM k)
 SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN p > 0 AND run + size / 2.0 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM s
