@@ -13,8 +13,10 @@ are near as it needs are candidates.  For those a consensus of one similarity tr
 (scale, turn, shift) over the matched corners must hold.
 
 Equal pictures are merged before anything is described, so a group of copies is one row
-with its members' count.  The installed tables hold no pictures; the query draws one from
-each ``embeddings`` row, a sum of fixed noise pictures weighted by its values.
+with its members' count.  ``find_copies`` gives every link, ``copy_classes`` one row per
+picture with its class and number of links.  The installed tables hold no pictures; the
+query draws one from each ``embeddings`` row, a sum of fixed noise pictures weighted by
+its values, and an edited copy of each query's.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, shared_folder, written
+from .near import components
 
 MOST_CORNERS, TILE, RADIUS, LEVELS, STEP = 24, 64, 9, 4, 0.8
 BLOCK = 8192
@@ -281,8 +284,31 @@ def shared_corners(queries: DataFrame, classes: DataFrame, least: int, folder: s
     return right.crossJoin(left).select(F.explode(pairs("q_digests", "q_counts", "q_bits", "digests", "counts", "bits")).alias("p")).select("p.q", "p.digest")
 
 
+def _searched(pictures: DataFrame, id_col: str, picture_col: str, is_query: Column, most_corners: int, least_inliers: int, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows: id, digest, asks; classes of equal pictures; asked: digest, query_id; links: q, digest, t), all written."""
+    rows = pictures.select(F.col(id_col).cast("long").alias("id"), F.col(picture_col).alias("picture"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = rows.withColumn("digest", F.sha2("picture", 256))
+    same = rows.filter(F.col("picture").isNotNull()).groupBy("digest").agg(F.min("id").alias("copy_id"), F.count("*").alias("n_equal"), F.max("asks").alias("asks"), F.first("picture").alias("picture"))
+    classes = written(same.select("digest", "copy_id", "n_equal", "asks", features(F.col("picture"), most_corners).alias("f")), f"{folder}/classes")
+    rows = written(rows.select("id", "digest", "asks"), f"{folder}/rows")
+    asked = written(rows.filter(F.col("asks") & F.col("id").isNotNull() & F.col("digest").isNotNull()).select("digest", F.col("id").alias("query_id")).distinct(), f"{folder}/asked")
+
+    bits = classes.filter(F.col("f").isNotNull()).select("digest", F.col("f.bits").alias("bits"), "asks")
+    votes = shared_corners(bits.filter("asks").drop("asks"), bits.drop("asks"), least_inliers, folder)
+    votes = written(votes, f"{folder}/votes")
+
+    @F.arrow_udf("struct<inliers: int, scale: double, turn: double, dx: double, dy: double>")
+    def agreed(a: pa.Array, b: pa.Array) -> pa.Array:
+        kind = pa.struct([("inliers", pa.int32()), *((c, pa.float64()) for c in ("scale", "turn", "dx", "dy"))])
+        return pa.array([dict(zip(kind.names, consensus(x, y))) for x, y in zip(a.to_pylist(), b.to_pylist())], kind)
+
+    pairs = votes.join(classes.select(F.col("digest").alias("q"), F.col("f").alias("qf")), "q").join(classes.select("digest", "f"), "digest")
+    links = written(pairs.select("q", "digest", agreed("qf", "f").alias("t")).filter(F.col("t.inliers") >= least_inliers), f"{folder}/links")
+    return rows, classes.drop("f"), asked, links
+
+
 def find_copies(pictures: DataFrame, id_col: str, picture_col: str, is_query: Column, most_corners: int = MOST_CORNERS, least_inliers: int = LEAST_INLIERS) -> DataFrame:
-    """Copies of the query pictures among all pictures.
+    """Copies of the query pictures among all pictures, link by link.
 
     One row per query id and class of equal pictures that are its copies: query_id, copy_id
     (the class's smallest id), n_equal (its rows), inliers, scale, turn, dx and dy of the
@@ -292,25 +318,34 @@ def find_copies(pictures: DataFrame, id_col: str, picture_col: str, is_query: Co
     empty table gives no rows; other columns are ignored.
     """
     folder = shared_folder(pictures.sparkSession, "pictures")
-    rows = pictures.select(F.col(id_col).cast("long").alias("id"), F.col(picture_col).alias("picture"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter(F.col("picture").isNotNull())
-    rows = rows.withColumn("digest", F.sha2("picture", 256))
-    same = rows.groupBy("digest").agg(F.min("id").alias("copy_id"), F.count("*").alias("n_equal"), F.max("asks").alias("asks"), F.first("picture").alias("picture"))
-    classes = written(same.select("digest", "copy_id", "n_equal", "asks", features(F.col("picture"), most_corners).alias("f")), f"{folder}/classes")
-    asked = written(rows.filter(F.col("asks") & F.col("id").isNotNull()).select("digest", F.col("id").alias("query_id")).distinct(), f"{folder}/asked")
+    _, classes, asked, links = _searched(pictures, id_col, picture_col, is_query, most_corners, least_inliers, folder)
+    other = asked.withColumnRenamed("digest", "q").join(links, "q").join(classes, "digest").select("query_id", "copy_id", "n_equal", "t.*")
+    own = asked.join(classes.filter("n_equal > 1"), "digest").select("query_id", "copy_id", "n_equal", F.lit(None).cast("int").alias("inliers"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("turn"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))
+    return other.unionByName(own)
 
-    bits = classes.filter(F.col("f").isNotNull()).select("digest", F.col("f.bits").alias("bits"), "asks")
-    votes = shared_corners(bits.filter("asks").drop("asks"), bits.drop("asks"), least_inliers, folder)
-    votes = written(votes, f"{folder}/votes")
 
-    @F.udf("struct<inliers: int, scale: double, turn: double, dx: double, dy: double>")
-    def agreed(a, b):
-        return consensus(a.asDict(), b.asDict())
+def copy_classes(pictures: DataFrame, id_col: str, picture_col: str, is_query: Column, most_corners: int = MOST_CORNERS, least_inliers: int = LEAST_INLIERS) -> DataFrame:
+    """One row per picture: id, class_id, n_links, and its best link.
 
-    pairs = votes.join(classes.select(F.col("digest").alias("q"), F.col("f").alias("qf")), "q").join(classes.select("digest", "f", "copy_id", "n_equal"), "digest")
-    pairs = pairs.withColumn("t", agreed("qf", "f")).filter(F.col("t.inliers") >= least_inliers)
-    other = asked.withColumnRenamed("digest", "q").join(pairs, "q").select("query_id", "copy_id", "n_equal", "t.*")
-    own = asked.join(classes.filter("n_equal > 1"), "digest").select("query_id", "copy_id", "n_equal", F.lit(None).cast("int").alias("inliers"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("turn"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))
-    return other.unionByName(own)
+    ``class_id`` is the smallest id reachable over links between queries and their copies (equal
+    pictures are linked), the own one if there is none.  ``n_links`` counts the query ids, other than the own, of
+    which the picture is a copy.  query_id, inliers, scale, turn, dx and dy are of the link with the most
+    inliers (of equal ones the least query), null without.  So rows grow with the pictures, not with their pairs.
+    Odd rows are taken as by ``find_copies``; a null picture is a class of its own.
+    """
+    folder = shared_folder(pictures.sparkSession, "pictures")
+    rows, classes, asked, links = _searched(pictures, id_col, picture_col, is_query, most_corners, least_inliers, folder)
+    asking = written(asked.groupBy("digest").agg(F.count("*").alias("n_asking"), F.min("query_id").alias("query_id")), f"{folder}/asking")
+    groups = written(components(links.select(F.col("q").alias("a"), F.col("digest").alias("b")), folder), f"{folder}/groups").select(F.col("node").alias("digest"), "root")
+    least = groups.join(classes, "digest").groupBy("root").agg(F.min("copy_id").alias("class_id"))
+    best = F.max_by(F.struct("query_id", "t.*"), F.struct("t.inliers", -F.col("query_id")))
+    linked = links.join(asking.withColumnRenamed("digest", "q"), "q").groupBy("digest").agg(F.sum("n_asking").alias("n"), best.alias("b"))
+    of = classes.join(groups.join(least, "root").drop("root"), "digest", "left").join(linked, "digest", "left").join(asking.select("digest", "n_asking"), "digest", "left")
+    of = of.select("digest", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_asking", F.lit(0)).alias("n_asking"), "b.*")
+    out = rows.join(written(of, f"{folder}/of"), "digest", "left")
+    own = (F.col("asks") & F.col("id").isNotNull()).cast("long")
+    n_links = F.coalesce(F.col("n") + F.col("n_asking") - own, F.lit(0)).alias("n_links")
+    return out.select("id", F.coalesce("class_id", "id").alias("class_id"), n_links, "query_id", "inliers", "scale", "turn", "dx", "dy")
 
 
 _noise: dict[tuple[int, int], np.ndarray] = {}
@@ -340,10 +375,34 @@ def draw(embedding: Column, side: int = 64) -> Column:
     return drawn(embedding)
 
 
+def edited(picture: Column) -> Column:
+    """An edited copy of a drawn picture: without an eighth of its rows and columns, brighter and with less contrast."""
+
+    @F.arrow_udf("binary")
+    def cut(data: pa.Array) -> pa.Array:
+        out = []
+        for d in data.to_pylist():
+            a = decode(d) if d else None
+            if a is not None:
+                h, w = a.shape
+                a = np.round(a[h // 8 :, w // 8 :] * 0.85 + 10).astype(np.uint8)
+            out.append(None if a is None else f"P5 {a.shape[1]} {a.shape[0]} 255\n".encode() + a.tobytes())
+        return pa.array(out, pa.binary())
+
+    return cut(picture)
+
+
+#: Ids from here on are planted copies of the pictures of the ids below.
+PLANTED = 1 << 40
+
+
 def op7_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", draw(F.col("embedding")).alias("picture"))
-    found = find_copies(vectors, "vec_id", "picture", F.col("vec_id") % 50 == 0)
-    return found.select("query_id", "copy_id", "n_equal", "inliers", *(F.round(c, 3).alias(c) for c in ("scale", "turn", "dx", "dy")))
+    """Pictures drawn from ``embeddings``, and for each query (every id divisible by 50) an edited copy that must be found."""
+    drawn = read_table(spark, sf_dir, "embeddings").select("vec_id", draw(F.col("embedding")).alias("picture"))
+    planted = drawn.filter(F.col("vec_id") % 50 == 0).select((F.col("vec_id") + PLANTED).alias("vec_id"), edited(F.col("picture")).alias("picture"))
+    asks = (F.col("vec_id") % 50 == 0) & (F.col("vec_id") < PLANTED)
+    found = copy_classes(drawn.unionByName(planted), "vec_id", "picture", asks)
+    return found.select(F.col("id").alias("vec_id"), "class_id", "n_links", "query_id", "inliers", *(F.round(c, 3).alias(c) for c in ("scale", "turn", "dx", "dy")))
 
 
 QUERIES = {"op7_image_copies": op7_image_copies}

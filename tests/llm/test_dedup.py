@@ -377,6 +377,15 @@ def test_image_candidates_equal_brute_force(spark):
     want = {(q, d) for q, f in seen if q < 100 for d, g in seen if d != q and op7.consensus(f, g)[0] >= op7.LEAST_INLIERS}
     got = {(r.query_id, r.copy_id) for r in op7.find_copies(spark.createDataFrame(rows, "id long, picture binary"), "id", "picture", F.col("id") < 100).collect()}
     assert got == want and len(want) >= 20
+    classes = {(r.id, r.class_id, r.n_links) for r in op7.copy_classes(spark.createDataFrame(rows, "id long, picture binary"), "id", "picture", F.col("id") < 100).collect()}
+    least = {d: d for d, _ in rows}
+    for _ in rows:
+        for q, d in want:
+            least[q] = least[d] = min(least[q], least[d])
+    assert classes == {(d, least[d], sum(x == d for _, x in want)) for d, _ in rows}
+    odd_ = spark.createDataFrame([(1, None), (None, b"junk"), (None, b"junk"), (2, b""), (2, b"")], "id long, picture binary").withColumn("class_id", F.lit(1))
+    assert sorted(map(str, ((r.id, r.class_id, r.n_links) for r in op7.copy_classes(odd_, "id", "picture", F.lit(True)).collect()))) == ["(1, 1, 0)", "(2, 2, 0)", "(2, 2, 0)", "(None, None, 0)", "(None, None, 0)"]
+    assert op7.copy_classes(odd_.limit(0), "id", "picture", F.lit(True)).collect() == []
 
 
 def test_image_query_finds_equal_vectors(spark, tmp_path):
@@ -384,8 +393,11 @@ def test_image_query_finds_equal_vectors(spark, tmp_path):
     v = [[float(x) for x in r.normal(size=64)] for _ in range(60)]
     rows = [(i, x) for i, x in enumerate(v)] + [(100, v[3]), (150, [x * 1.01 + 0.02 * y for x, y in zip(v[7], r.normal(size=64))]), (200, v[50]), (201, None), (202, [])]
     spark.createDataFrame([(i, [float(y) for y in x] if x is not None else None) for i, x in rows], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {(r.query_id, r.copy_id, r.n_equal) for r in op7.op7_image_copies(spark, str(tmp_path)).collect()}
-    assert got == {(50, 50, 2), (200, 50, 2), (100, 3, 2), (150, 7, 1)}
+    got = {r.vec_id: (r.class_id, r.n_links, r.query_id) for r in op7.op7_image_copies(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) + 5 and got[201] == (201, 0, None)
+    at = op7.PLANTED
+    assert {i: got[i] for i in (50, 200, 3, 100, 7, 150, 8)} == {50: (50, 1, None), 200: (50, 1, None), 3: (3, 1, None), 100: (3, 0, None), 7: (7, 1, 150), 150: (7, 0, None), 8: (8, 0, None)}
+    assert {i: got[at + i] for i in (0, 50, 100, 150, 200)} == {0: (0, 1, 0), 50: (50, 2, 50), 100: (3, 1, 100), 150: (7, 1, 150), 200: (50, 2, 50)}
 
 
 def test_pipeline(spark):
