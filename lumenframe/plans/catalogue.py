@@ -599,6 +599,29 @@ foreign("dialect_bigquery", "bigquery", "lineitem", 'SELECT * EXCEPT (q) FROM (S
 foreign("dialect_mysql", "mysql", "nation", 'SELECT n_regionkey, GROUP_CONCAT(n_name ORDER BY n_name DESC SEPARATOR "|") AS ns FROM nation GROUP BY n_regionkey ORDER BY n_regionkey LIMIT 1, 3',
         "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name DESC) AS ns FROM nation GROUP BY n_regionkey ORDER BY n_regionkey LIMIT 3 OFFSET 1")
 
+foreign("dialect_postgres_division", "postgres", "orders", "SELECT o_orderkey, o_orderkey / 7 AS a, o_orderkey / 7 * 2 AS b, o_totalprice / 7 AS c FROM orders", "SELECT o_orderkey, o_orderkey // 7 AS a, o_orderkey // 7 * 2 AS b, o_totalprice / 7 AS c FROM orders")
+foreign("dialect_tsql_text", "tsql", "customer", "SELECT c_custkey, c_name + '/' + c_mktsegment AS t, c_custkey + 1 AS n, LEN(c_name + '  ') AS l, c_custkey / 4 AS q FROM customer WITH (NOLOCK)",
+        "SELECT c_custkey, c_name || '/' || c_mktsegment AS t, c_custkey + 1 AS n, CAST(length(c_name) AS INTEGER) AS l, c_custkey // 4 AS q FROM customer")
+foreign("dialect_tsql_styles", "tsql", "orders", "SELECT o_orderkey, CONVERT(varchar(8), o_orderdate, 112) AS a, CONVERT(varchar(10), o_orderdate, 103) AS b, CONVERT(varchar, o_orderdate, 120) AS c FROM orders",
+        "SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS a, strftime(o_orderdate, '%d/%m/%Y') AS b, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS c FROM orders")
+foreign("dialect_duckdb_subscripts", "duckdb", "embeddings", "SELECT vec_id, embedding[1] AS a, embedding[-1] AS b, embedding[1000] AS c, embedding[2:4] AS d FROM embeddings")
+foreign("dialect_duckdb_regexp", "duckdb", "part", "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '_') AS a, regexp_replace(p_name, '[aeiou]', '_', 'g') AS b, regexp_extract(p_brand, '[a-z]([0-9])') AS c, p_type GLOB '*E*' AS g FROM part")
+foreign("dialect_duckdb_formats", "duckdb", "orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d, %H:%M') AS f, strftime(o_orderdate, '%j %b %-d') AS j FROM orders")
+foreign("dialect_duckdb_unnest", "duckdb", "embeddings", "SELECT vec_id, x FROM embeddings, UNNEST(embedding) AS u(x)")
+foreign("dialect_postgres_ordinality", "postgres", "embeddings", "SELECT vec_id, x, CAST(n AS INTEGER) AS n FROM embeddings CROSS JOIN UNNEST(embedding) WITH ORDINALITY AS u(x, n)", "SELECT vec_id, unnest(embedding) AS x, CAST(unnest(range(1, len(embedding) + 1)) AS INTEGER) AS n FROM embeddings")
+foreign("dialect_postgres_patterns", "postgres", "part", "SELECT p_partkey FROM part WHERE p_name SIMILAR TO '(a|b|s)%e_%' AND p_type !~* 'zinc'", "SELECT p_partkey FROM part WHERE regexp_full_match(p_name, '(a|b|s).*e..*') AND NOT regexp_matches(lower(p_type), 'zinc')")
+foreign("dialect_bigquery_pipe", "bigquery", "orders", "FROM orders |> WHERE o_orderstatus != 'P' |> AGGREGATE COUNT(*) AS n, MAX(o_totalprice) AS m GROUP BY o_custkey |> RENAME n AS orders_n |> EXTEND orders_n * 2 AS twice |> DROP m",
+        "SELECT o_custkey, count(*) AS orders_n, count(*) * 2 AS twice FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey")
+foreign("dialect_bigquery_offsets", "bigquery", "embeddings", "SELECT vec_id, x, o FROM embeddings, UNNEST(embedding) AS x WITH OFFSET AS o WHERE embedding[OFFSET(0)] > embedding[SAFE_ORDINAL(2)]",
+        "SELECT vec_id, x, o FROM (SELECT vec_id, embedding, unnest(embedding) AS x, CAST(unnest(range(len(embedding))) AS INTEGER) AS o FROM embeddings) WHERE embedding[1] > embedding[2]")
+foreign("dialect_snowflake_flatten", "snowflake", "embeddings", "SELECT vec_id, f.index AS i, f.value AS v FROM embeddings, LATERAL FLATTEN(input => embedding) f", "SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS i, unnest(embedding) AS v FROM embeddings")
+foreign("dialect_mysql_or", "mysql", "orders", "SELECT o_orderkey, o_totalprice < 50000 || o_orderstatus = 'P' AS either, DATE_FORMAT(o_orderdate, '%d.%m.%Y %H:%i') AS d FROM orders", "SELECT o_orderkey, o_totalprice < 50000 OR o_orderstatus = 'P' AS either, strftime(o_orderdate, '%d.%m.%Y %H:%M') AS d FROM orders")
+foreign("dialect_redshift", "redshift", "orders", "SELECT o_custkey, NVL(MAX(NULLIF(o_orderstatus, 'P')), '-') AS s, DATEDIFF(month, MIN(o_orderdate), MAX(o_orderdate)) AS m, COUNT(*) / 2 AS h FROM orders GROUP BY o_custkey",
+        "SELECT o_custkey, coalesce(max(nullif(o_orderstatus, 'P')), '-') AS s, date_diff('month', min(o_orderdate), max(o_orderdate)) AS m, count(*) // 2 AS h FROM orders GROUP BY o_custkey")
+foreign("dialect_trino", "trino", "embeddings", "SELECT vec_id, embedding[1] AS a, cardinality(embedding) AS n, label / 2 AS h FROM embeddings ORDER BY label DESC, vec_id LIMIT 50", "SELECT vec_id, embedding[1] AS a, CAST(len(embedding) AS INTEGER) AS n, CAST(label // 2 AS BIGINT) AS h FROM embeddings ORDER BY label DESC NULLS LAST, vec_id LIMIT 50")
+foreign("dialect_sqlite", "sqlite", "orders", "SELECT o_orderkey, ifnull(nullif(o_orderstatus, 'P'), '?') AS s, strftime('%Y-%m', o_orderdate) AS m, o_orderkey / 3 AS q FROM orders WHERE o_orderpriority GLOB '[1-3]*'",
+        "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'P'), '?') AS s, strftime(o_orderdate, '%Y-%m') AS m, o_orderkey // 3 AS q FROM orders WHERE o_orderpriority GLOB '[1-3]*'")
+
 
 # Templated models
 @query("SELECT c_mktsegment, count(*) AS n, round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS o_total, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS f_total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 50000 GROUP BY c_mktsegment")
