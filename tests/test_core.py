@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions import text
 from lumenframe.operators import joins, relations, shape
 from lumenframe.operators.pipe import Pipe
-from lumenframe.plans import analysis, catalogue
+from lumenframe.plans import analysis, catalogue, statements
 from lumenframe.sources import tables
 from lumenframe.streaming import events
 from tests.oracle import differences
@@ -197,12 +197,85 @@ def test_text_functions(spark):
     assert of(text.glob(F.col("s"), "[!a]*")) == [False, False, True, True]
 
 
-def test_analysis(spark):
-    tables.views(spark, SF, "orders", "customer")
-    rows = analysis.lineage(spark, "SELECT c_name, o_totalprice + 1 AS p FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'x', 1").collect()
-    assert {(r.name, r.source_column) for r in rows} >= {("c_name", "c_name"), ("p", "o_totalprice")}
-    assert analysis.diagnostics(spark, "SELECT nope FROM orders").first().condition.startswith("UNRESOLVED_COLUMN")
-    assert analysis.diagnostics(spark, "SELECT o_orderkey FROM orders").count() == 0
+LINEAGE = [
+    ("SELECT 1 AS c FROM t", "c", set()),
+    ("WITH c AS (SELECT a FROM t) SELECT a FROM c", "a", {"t.a"}),
+    ("WITH c (x) AS (SELECT a FROM t) SELECT x FROM c", "x", {"t.a"}),
+    ("WITH c AS (SELECT * FROM t) SELECT * FROM c", "a", {"t.a"}),
+    ("SELECT a FROM t UNION SELECT b FROM u", "a", {"t.a", "u.b"}),
+    ("SELECT a FROM t INTERSECT SELECT x FROM u", "a", {"t.a", "u.x"}),
+    ("SELECT a FROM t EXCEPT SELECT x FROM u", "a", {"t.a"}),
+    ("SELECT (SELECT max(x) FROM u WHERE u.b = t.b) AS m FROM t", "m", {"u.x"}),
+    ("WITH a AS (SELECT c1 FROM t), b AS (SELECT c1 AS c2 FROM a) SELECT c2 FROM b", "c2", {"t.c1"}),
+    ("SELECT e + b AS e FROM t LATERAL VIEW explode(arr) v AS e", "e", {"t.arr", "t.b"}),
+    ("SELECT a, count(*) AS n FROM t GROUP BY ROLLUP(a)", "a", {"t.a"}),
+    ("WITH RECURSIVE r(n) AS (SELECT a FROM t UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT n FROM r", "n", {"t.a"}),
+    ("SELECT sum(b) OVER (PARTITION BY a) AS w FROM t", "w", {"t.a", "t.b"}),
+    ("SELECT p.a AS q FROM t p JOIN t o ON p.a = o.b", "q", {"t.a"}),
+]
+
+
+@pytest.fixture
+def small(spark):
+    spark.sql("SELECT 1 AS a, 2 AS b, 3 AS c1, array(1) AS arr").createOrReplaceTempView("t")
+    spark.sql("SELECT 1 AS b, 2 AS x, named_struct('p', 1) AS s").createOrReplaceTempView("u")
+    return spark
+
+
+@pytest.mark.parametrize("sql, column, want", LINEAGE)
+def test_lineage(small, sql, column, want):
+    assert {f"{r.source_table}.{r.source_column}" for r in analysis.lineage(small, sql).collect() if r.name == column} == want
+    steps = analysis.hops(small, sql).filter(F.col("name") == column).collect()
+    assert {f"{r.source_table}.{r.column}" for r in steps if r.kind == "origin"} == want
+    assert all(r.parent is None or r.parent < r.hop for r in steps)
+
+
+def test_hops_pass_renames(small):
+    got = analysis.hops(small, "WITH c AS (SELECT a AS x, b FROM t) SELECT x AS y, sum(b + 1) AS s FROM c GROUP BY x").collect()
+    assert [(r.name, r.hop, r.parent, r.column, r.kind, r.via) for r in got] == [("y", 0, None, "a", "origin", "y,x"), ("s", 0, None, "s", "aggregate", ""), ("s", 1, 0, "b", "origin", "")]
+
+
+def test_all_faults_at_once(small):
+    got = analysis.diagnostics(small, "SELECT nope, t.a, zip FROM t JOIN u ON t.b = u.b\nWHERE b > 1 AND u.s.q = 1 AND abs(1, 2) = 3 AND array_contains(a, 1)").collect()
+    assert [(r.kind, r.line, r.column, r.end_column, r.fragment) for r in got] == [
+        ("unknown-column", 1, 7, 11, "nope"), ("unknown-column", 1, 18, 21, "zip"), ("ambiguous-column", 2, 6, 7, "b"),
+        ("unknown-field", 2, 16, 21, "u.s.q"), ("wrong-arity", 2, 30, 39, "abs(1, 2)"), ("wrong-argument-type", 2, 48, 68, "array_contains(a, 1)"),
+    ]
+    assert [(r.kind, r.fragment) for r in analysis.diagnostics(small, "SELECT k.z, a, qq FROM missing k JOIN t ON k.i = t.a").collect()][-1] == ("unknown-table", "missing")
+    assert "ambiguous-table" in {r.kind for r in analysis.diagnostics(small, "SELECT 1 FROM t JOIN t").collect()}
+    assert [r.kind for r in analysis.diagnostics(small, "SELEC a").collect()] == ["syntax"]
+    assert analysis.diagnostics(small, "WITH c AS (SELECT a FROM t) SELECT a FROM c").count() == 0
+
+
+def test_scopes_stars_and_everything(small):
+    sql = "WITH c AS (SELECT * FROM t) SELECT c.*, d.x, 1 AS one FROM c JOIN (SELECT * FROM u) d ON c.b = d.b WHERE c.a IN (SELECT b FROM u)"
+    assert [tuple(r) for r in analysis.scopes(small, sql).collect()] == [(0, None, "with", "c", None), (1, 0, "table", "t", "t"), (0, None, "cte", "c", None), (0, None, "subquery", "d", None), (2, 0, "table", "u", "u"), (3, 0, "table", "u", "u")]
+    assert [tuple(r)[1:] for r in analysis.expand_star(small, sql).collect()] == [("a", "t", "a"), ("b", "t", "b"), ("c1", "t", "c1"), ("arr", "t", "arr"), ("x", "u", "x"), ("one", None, None)]
+    whole = analysis.analyze(small, "SELECT a[1] AS f FROM (SELECT arr AS a FROM t)", "duckdb")
+    assert whole["types"].first().type == "int" and whole["lineage"].first().source_column == "arr"
+    assert set(analysis.analyze(small, "SELEC 1")) == {"diagnostics"}
+
+
+def test_statements_are_classed(spark):
+    of = {"SELECT 1": "query", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a": "dml", "(SELECT 1)": "query", "CREATE VIEW v AS SELECT 1": "ddl", "GRANT SELECT ON t TO x": "dcl", "BEGIN TRANSACTION": "tcl", "BEGIN SELECT 1; END": "compound", "SHOW TABLES": "utility", "": "other", "SELECT 1; SELECT 2": "compound"}
+    assert {q: statements.category(q) for q in of} == of
+    assert [(r.category, r.kind) for r in statements.classes(spark, "SELECT 1; GRANT x ON t TO y; DELETE FROM t", "postgres").collect()] == [("query", "query"), ("dcl", "other"), ("dml", "dml")]
+
+
+def test_changes_as_text(spark):
+    spark.createDataFrame([(1, 10, "a"), (2, 20, "b"), (None, 30, "c")], "k int, v int, s string").createOrReplaceTempView("tt")
+    spark.createDataFrame([(1, 5), (3, 7)], "k int, d int").createOrReplaceTempView("dd")
+    rows = lambda sql, dialect="spark": {tuple(r) for r in statements.change(spark, sql, dialect)[1].collect()}
+    assert rows("UPDATE tt SET v = v / 3, s = upper(s) WHERE k = 2", "postgres") == {(1, 10, "a"), (2, 6, "B"), (None, 30, "c")}
+    assert rows("UPDATE tt SET v = tt.v + dd.d FROM dd WHERE tt.k = dd.k AND dd.d > 1", "postgres") == {(1, 15, "a"), (2, 20, "b"), (None, 30, "c")}
+    assert rows("DELETE FROM tt AS x WHERE x.k IN (SELECT k FROM dd)") == {(2, 20, "b"), (None, 30, "c")}
+    assert rows("DELETE FROM tt USING dd WHERE tt.k = dd.k", "postgres") == {(2, 20, "b"), (None, 30, "c")}
+    assert (9, None, "z") in rows("INSERT INTO tt (s, k) VALUES ('z', 9)") and len(rows("INSERT INTO tt BY NAME SELECT 'q' AS s, 4 AS k", "duckdb")) == 4
+    assert rows("INSERT OVERWRITE TABLE tt SELECT 1, 2, 'x'") == {(1, 2, "x")}
+    assert rows("MERGE INTO tt AS a USING (SELECT * FROM dd) AS b ON a.k = b.k WHEN MATCHED AND b.d > 6 THEN DELETE WHEN MATCHED THEN UPDATE SET v = a.v + b.d WHEN NOT MATCHED THEN INSERT (k, v) VALUES (b.k, b.d * 2) WHEN NOT MATCHED BY SOURCE AND a.k = 2 THEN DELETE", "tsql") == {(1, 15, "a"), (3, 14, None), (None, 30, "c")}
+    assert statements.change(spark, "CREATE TABLE made AS (SELECT TOP 1 k FROM tt ORDER BY v)", "tsql")[0] == "made" and rows("CREATE TABLE made AS SELECT k FROM tt WHERE k = 2") == {(2,)}
+    with pytest.raises(ValueError, match="equal columns"):
+        rows("MERGE INTO tt USING dd ON tt.k < dd.k WHEN MATCHED THEN DELETE")
 
 
 def test_files_by_extension(spark, tmp_path):
