@@ -12,6 +12,9 @@ A key is the line without blanks at its ends and with A-Z in lower case, as MD5.
 at least ``least_chars`` code points in at least ``least_docs`` documents loses its lines,
 except in the document with the largest id that holds it.
 
+The runs outlive a call: ``LineRuns.reopen`` takes up those of a folder, and later
+batches are joined with them.
+
 DataFrame functions only.  A document is a pair of id and text, so repeated rows count
 once and lose the same lines; a null id is below all others; null and empty texts are one
 empty line; an empty table gives no rows; other columns are kept as they are.
@@ -24,7 +27,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_name, read_table, shared_folder, written
+from .common import fresh_name, read_table, removed, shared_folder, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 LEAST_CHARS, LEAST_DOCS, BATCHES, FANOUT = 20, 3, 4, 4
@@ -41,13 +44,60 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Runs of (key, documents, largest id), disjoint in key, in levels; and the repeats."""
+    """Runs of (key, documents, largest id), disjoint in key, in levels; and the repeats.
+
+    Which runs there are stands in a manifest below ``folder``, written anew after each batch, so
+    ``reopen`` carries on in another session; what a merge replaces is deleted after that.
+    """
+
+    RUN = "level int, name string, buckets int"
 
     def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.folder, self.fanout = spark, folder, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self.repeats: list[DataFrame] = []
+        self.old: list[str] = []
+        self.version = 0
+
+    @classmethod
+    def reopen(cls, spark: SparkSession, folder: str, fanout: int = FANOUT) -> LineRuns:
+        """The runs that lie below ``folder``, as the last batch left them."""
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        names = [f.getPath().getName() for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
+        done = [int(n.removeprefix("manifest-")) for n in names if n.startswith("manifest-") and cls._whole(spark, f"{folder}/{n}")]
+        rows = spark.read.schema(cls.RUN).json(f"{folder}/manifest-{max(done)}").collect() if done else []  # a row a run
+        buckets = next((r.buckets for r in rows), None)
+        runs = cls(spark, folder, fanout, buckets)
+        runs.version = max(done, default=0)
+        for r in sorted(rows, key=lambda r: (r.level, r.name)):
+            if r.level < 0:
+                runs.repeats.append(spark.read.schema("key string, n long, last long").parquet(f"{folder}/{r.name}"))
+                runs.again = [*runs.again, r.name]
+                continue
+            runs.levels += [[] for _ in range(r.level + 1 - len(runs.levels))]
+            runs.levels[r.level].append(r.name)
+            if not spark.catalog.tableExists(r.name):
+                spark.sql(f"CREATE TABLE {r.name} (key STRING, n BIGINT, last BIGINT) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {r.buckets} BUCKETS LOCATION '{folder}/{r.name}'")
+        return runs
+
+    @staticmethod
+    def _whole(spark: SparkSession, folder: str) -> bool:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    again: list[str] = []
+
+    def _recorded(self) -> None:
+        """Write the manifest, then delete what it no longer names."""
+        self.version += 1
+        rows = [(level, name, self.buckets) for level, names in enumerate(self.levels) for name in names] + [(-1, name, self.buckets) for name in self.again]
+        self.spark.createDataFrame(rows, self.RUN).coalesce(1).write.json(f"{self.folder}/manifest-{self.version}")
+        for name in self.old:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            removed(self.spark, f"{self.folder}/{name}")
+        removed(self.spark, f"{self.folder}/manifest-{self.version - 1}")
+        self.old = []
 
     def _store(self, run: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
@@ -64,15 +114,15 @@ class LineRuns:
                 merged = merged.unionByName(run)
             old, self.levels[level] = self.levels[level], []
             self._add(self._store(merged), level + 1)
-            for n in old:
-                self.spark.sql(f"DROP TABLE {n}")
+            self.old += old
 
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in reversed(self.levels) for name in level]
 
     def add(self, batch: DataFrame) -> None:
         """Take one batch: (key, n, last), one row per key."""
-        batch = written(batch, f"{self.folder}/batch-{uuid.uuid4().hex}")
+        folder = f"{self.folder}/batch-{uuid.uuid4().hex}"
+        batch = written(batch, folder)
         fresh = batch
         for run in self.runs():
             fresh = fresh.join(run.hint("merge"), "key", "left_anti")
@@ -80,12 +130,15 @@ class LineRuns:
         name = self._store(fresh)
         if held:
             again = batch.join(self.spark.table(name).hint("merge"), "key", "left_anti")
-            self.repeats.append(written(again, f"{self.folder}/again-{uuid.uuid4().hex}"))
+            self.again = [*self.again, f"again-{uuid.uuid4().hex}"]
+            self.repeats.append(written(again, f"{self.folder}/{self.again[-1]}"))
         self._add(name, 0)
+        removed(self.spark, folder)
+        self._recorded()
 
     def totals(self, least: int) -> DataFrame:
         """(key, n, last) of all keys in at least ``least`` documents."""
-        out = None
+        out = self.spark.createDataFrame([], "key string, n long, last long") if not self.runs() else None
         again = None
         for r in self.repeats:
             again = r if again is None else again.unionByName(r)
@@ -103,6 +156,7 @@ class LineRuns:
         for level in self.levels:
             for name in level:
                 self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        removed(self.spark, self.folder)
         self.levels = []
 
 
