@@ -92,8 +92,11 @@ def _inputs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("mark"), F.encode(text, "UTF-8").alias("text"))
 
 
-def span_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """A row per span: document, hash of its text, first sentence, sentences, 128-bit hash."""
+def span_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, sizes: bool = False) -> DataFrame:
+    """A row per span: document, hash of its text, first sentence, sentences, 128-bit hash.
+
+    With ``sizes`` also a row per document at place -1 with its number of sentences.
+    """
 
     def task(batches):
         from xxhash import xxh3_128_digest
@@ -103,7 +106,12 @@ def span_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for first, group in text_groups(batch.column(2)):
                 doc, mark, pos, n, data = [], [], [], [], []
                 for i, text in enumerate(group, first):
-                    for at, count, span in spans(sentences(text), least_sentences, least_words):
+                    found = sentences(text)
+                    if sizes:
+                        pos.append(-1)
+                        n.append(len(found))
+                        data.append(bytes(16))
+                    for at, count, span in spans(found, least_sentences, least_words):
                         pos.append(at)
                         n.append(count)
                         data.append(xxh3_128_digest(span))
@@ -117,15 +125,20 @@ def span_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _inputs(docs, id_col, text_col).mapInArrow(task, SPAN)
 
 
-def repeated(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc, mark, gone): per document the spans (pos, n) that repeat an earlier one."""
-    found = span_hashes(docs, id_col, text_col, least_sentences, least_words)
+def repeated(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(doc, mark, gone), per document the spans (pos, n) that repeat an earlier one; and (doc, mark, n_sentences) of all.
+
+    Texts go through Python once; the hashes are written and read twice.
+    """
+    whole = written(span_hashes(docs, id_col, text_col, least_sentences, least_words, sizes=True), f"{folder}/hashes")
+    sizes = whole.filter("pos < 0").select("doc", "mark", F.col("n").cast("long").alias("n_sentences"))
+    found = whole.filter("pos >= 0")
     often = written(found.groupBy("h1").agg(F.count("*").alias("c")).filter("c > 1").select("h1"), f"{folder}/often")
     some = written(found.join(often, "h1"), f"{folder}/some")
     place = F.struct("doc", "mark", "pos")
     first = written(some.groupBy("h1", "h2").agg(F.min(place).alias("first")), f"{folder}/first")
     later = some.join(first, ["h1", "h2"]).filter(place != F.col("first"))
-    return written(later.groupBy("doc", "mark").agg(F.array_sort(F.collect_set(F.struct("pos", "n"))).alias("gone")), f"{folder}/gone")
+    return written(later.groupBy("doc", "mark").agg(F.array_sort(F.collect_set(F.struct("pos", "n"))).alias("gone")), f"{folder}/gone"), sizes
 
 
 def _cover(spans_: list, n: int) -> list[tuple[int, int]]:
@@ -148,18 +161,15 @@ def span_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns are ignored.
     """
     folder = shared_folder(docs.sparkSession, "spans")
-    gone = repeated(docs, folder, id_col, text_col, least_sentences, least_words)
-
-    @F.arrow_udf("long")
-    def counted(texts: pa.Array) -> pa.Array:
-        return pa.array([len(sentences(t)) for _, g in text_groups(texts) for t in g], pa.int64())
+    gone, sizes = repeated(docs, folder, id_col, text_col, least_sentences, least_words)
 
-    @F.udf("array<struct<first: int, after: int>>")
-    def cover(spans_):
-        return _cover(spans_, 1 << 31) if spans_ else []
+    @F.arrow_udf("array<struct<first: int, after: int>>")
+    def cover(of: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))
+        return pa.array([[{"first": a, "after": b} for a, b in _cover(x or [], 1 << 31)] for x in of.to_pylist()], kind)
 
-    sizes = _inputs(docs, id_col, text_col).select("doc", "mark", counted("text").alias("n_sentences"))
-    out = sizes.join(gone, ["doc", "mark"], "left").withColumn("removed", cover("gone"))
+    covered = gone.select("doc", "mark", cover("gone").alias("removed"))
+    out = sizes.join(covered, ["doc", "mark"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<first: int, after: int>>")))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["after"] - r["first"])
     return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_sentences", removed.alias("n_removed"), "removed")
 
@@ -167,16 +177,15 @@ def span_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with ``text_col`` without the removed sentences; other columns as they are.
 
-    Where a removed span follows the rest of a sentence, a line end takes its place.
+    Where a removed span follows the rest of a sentence, a line end takes its place.  Null and
+    empty texts stay as they are, a null id comes after all others, rows equal in id and text are one document and
+    get equal texts, an empty table stays empty.
     """
     folder = shared_folder(docs.sparkSession, "spans")
-    gone = repeated(docs, folder, id_col, text_col, least_sentences, least_words)
+    gone, _ = repeated(docs, folder, id_col, text_col, least_sentences, least_words)
     doc, mark, name = (fresh_name(docs, f"__lf_{c}") for c in ("doc", "mark", "gone"))
 
-    @F.udf("string")
-    def kept(text, spans_):
-        if not spans_:  # Spark may ask for rows that the branch below leaves out
-            return text
+    def one(text: str, spans_: list) -> str:
         data = text.encode()
         found = sentences(data)
         out, last = [], 0
@@ -187,6 +196,11 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             last = found[b - 1][1]
         return b"".join([*out, data[last:]]).decode()
 
+    @F.arrow_udf("string")
+    def kept(texts: pa.Array, of: pa.Array) -> pa.Array:
+        pairs = ((texts[i].as_py(), of[i].as_py()) for i in range(len(texts)))  # one text at a time
+        return pa.array([one(t, s) if s else t for t, s in pairs], pa.string())  # Spark may ask for rows that the branch below leaves out
+
     keys = {doc: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), mark: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
     out = docs.withColumns(keys).join(gone.select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("gone").alias(name)), [doc, mark], "left")
     return out.withColumn(text_col, F.when(F.col(name).isNull(), F.col(text_col)).otherwise(kept(F.col(text_col), F.col(name)))).select(*docs.columns)

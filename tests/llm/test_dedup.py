@@ -67,7 +67,13 @@ def test_line_runs_are_disjoint_and_levelled(spark):
         runs.add(spark.createDataFrame([(k, *v) for k, v in batch.items()], "key string, n long, last long"))
         for k, (n, last) in batch.items():
             want[k] = (want.get(k, (0, 0))[0] + n, max(want.get(k, (0, 0))[1], last))
+        if r.random() < 0.5:
+            runs = op5.LineRuns.reopen(spark, runs.folder, fanout=2)
     assert max(map(len, runs.levels)) < 2 and len(runs.levels) > 1
+    for name in [n for level in runs.levels for n in level]:  # as in another session
+        spark.sql(f"DROP TABLE {name}")
+    runs = op5.LineRuns.reopen(spark, runs.folder, fanout=2)
+    assert not runs.spark.sparkContext._jvm.java.io.File(runs.folder.removeprefix("file:")).list() is None
     keys = [row.key for run in runs.runs() for row in run.collect()]
     assert len(keys) == len(set(keys))
     assert {(x.key, x.n, x["last"]) for x in runs.totals(4).collect()} == {(k, *v) for k, v in want.items() if v[0] >= 4}
