@@ -54,7 +54,7 @@ class WordIds:
     full is emptied, which costs time only.
     """
 
-    def __init__(self, path: str, most_words: int = 400_000, most_parts: int = 50_000):
+    def __init__(self, path: str, most_words: int = 250_000, most_parts: int = 50_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
