@@ -171,6 +171,15 @@ def json_pairs(df: DataFrame, text: str, path: str | None = None) -> DataFrame:
     return out.select(*(f"`{c}`" for c in df.columns), key, plain.alias(item), code.alias(kind))
 
 
+def sample_rows(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """Exactly ``n`` rows (all, if there are fewer) in a random order that the seed and the rows give: REPEATABLE."""
+    from .joins import first_rows
+
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, T.MapType | T.VariantType)]
+    order = F.xxhash64(F.lit(seed), *hashed)
+    return df.orderBy(order).limit(n) if n <= 10_000 else first_rows(df, [order], n)
+
+
 def split_to_table(df: DataFrame, text: str, delimiter: str) -> DataFrame:
     """SPLIT_TO_TABLE: seq, index (from 1) and value of a text's parts."""
     seq, index, item = fresh_names("seq index value", df)
