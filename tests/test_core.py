@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions import text
 from lumenframe.operators import joins, relations, shape
 from lumenframe.operators.pipe import Pipe
-from lumenframe.plans import analysis, catalogue, statements
+from lumenframe.plans import analysis, catalogue, dialects, statements
 from lumenframe.sources import tables
 from lumenframe.streaming import events
 from tests.oracle import differences
@@ -46,6 +46,24 @@ def test_streams_equal_batches(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/d").count() == e.select("event_type").distinct().count()
 
 
+def test_streams_join_by_interval_and_keep_state(spark, tmp_path):
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    a = [(1, at(0), 10), (1, at(30), 11), (2, at(5), 12)]
+    b = [(1, at(4), 20), (1, at(0), 21), (1, at(31), 22), (2, at(50), 23)]
+    want = {(1, 10, 20), (1, 11, 22)}
+    spark.createDataFrame(a, "k int, t timestamp, x int").write.parquet(f"{tmp_path}/a")
+    spark.createDataFrame(b, "k int, s timestamp, y int").write.parquet(f"{tmp_path}/b")
+    tables_ = [spark.read.parquet(f"{tmp_path}/{n}") for n in "ab"]
+    assert {(r.k, r.x, r.y) for r in events.interval_join(*tables_, ["k"], "t", "s", "10 minutes").collect()} == want
+    streams = [events.read_stream(spark, f"{tmp_path}/{n}", d.schema) for n, d in zip("ab", tables_)]
+    events.run_available(events.interval_join(*streams, ["k"], "t", "s", "10 minutes", late="1 hour"), f"{tmp_path}/out", f"{tmp_path}/c1")
+    assert {(r.k, r.x, r.y) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want
+    seen = {}
+    counted = events.counted_by_key(streams[0], "k", "t", "1 hour")
+    counted.writeStream.outputMode("update").foreachBatch(lambda d, _: seen.update({r.k: r.n for r in d.collect()})).option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination()
+    assert seen == {1: 2, 2: 1}
+
+
 def test_asof_of_nulls_and_ties(spark):
     a = spark.createDataFrame([(1, 5, "x"), (1, None, "y"), (2, 1, "z")], "k int, t int, a string")
     b = spark.createDataFrame([(1, 5, 10), (1, 3, 7), (2, 2, 9), (1, None, 4)], "k int, t int, v int")
@@ -283,6 +301,8 @@ def test_files_by_extension(spark, tmp_path):
     for fmt in ("parquet", "orc", "json", "csv"):
         tables.save(df, f"{tmp_path}/t.{fmt}", fmt, header="true")
         assert tables.file_scan(spark, f"{tmp_path}/t.{fmt}", "k int, s string").count() == 2
+    spark.createDataFrame([(1,), (2,)], "k int").write.parquet(f"{tmp_path}/f.parquet")
+    assert dialects.run(spark, f"SELECT sum(k) AS s FROM '{tmp_path}/f.parquet' JOIN read_parquet('{tmp_path}/f.parquet') USING (k)", "duckdb").first().s == 3
     with pytest.raises(ValueError, match="no reader"):
         tables.file_scan(spark, "x.unknown")
     assert shape.star(df, ilike="K").columns == ["k"]
