@@ -7,10 +7,12 @@ smoothed pixels, the pairs being turned to that direction.  Up to ``most_corners
 corners of each tile of about 64 by 64 pixels, strongest first, describe it, so crops of
 large pictures keep enough.
 
-All descriptors of the query pictures are compared with all pictures', in blocks, so no
-pair is lost that the consensus would accept: pictures of which at least as many corners
-are near as it needs are candidates.  For those a consensus of one similarity transform
-(scale, turn, shift) over the matched corners must hold.
+Hamming tables (two orders of the 256 bits, each cut into 16 keys of 16 bits) join the
+corners of the query pictures with all pictures', block by block.  Pictures that meet in
+some corner at most 48 bits apart are compared whole, and those with as many near corners
+as the consensus needs are candidates: one similarity transform (scale, turn, shift)
+over the matched corners must hold.  Five corners that all lie 48 bits apart, the
+farthest that counts, meet with probability 0.997.
 
 Equal pictures are merged before anything is described, so a group of copies is one row
 with its members' count.  ``find_copies`` gives every link, ``copy_classes`` one row per
@@ -35,6 +37,8 @@ from .near import components
 MOST_CORNERS, TILE, RADIUS, LEVELS, STEP = 24, 64, 9, 4, 0.8
 BLOCK = 8192
 NEAR, LEAST_INLIERS = 48, 5
+#: Orders in which a descriptor's bits are cut into keys: their own and a random one.
+ORDERS = (np.arange(256), np.random.default_rng(16).permutation(256))
 FEATURES = "xs: array<float>, ys: array<float>, sizes: array<float>, turns: array<float>, bits: binary"
 
 
@@ -236,14 +240,37 @@ def features(picture: Column, most_corners: int = MOST_CORNERS) -> Column:
     return described(picture)
 
 
-def near_corners(x: np.ndarray, y: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of all descriptors (rows of four uint64) at most ``near`` bits apart."""
-    apart = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
-    apart += np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
-    i, j = np.nonzero(apart <= near)
-    rest = np.bitwise_count(x[i, 2:] ^ y[j, 2:]).sum(axis=1, dtype=np.int64)
-    keep = apart[i, j] + rest <= near
-    return i[keep], j[keep]
+def table_keys(x: np.ndarray) -> np.ndarray:
+    """The keys of each descriptor (a row of four uint64) in all Hamming tables: one row a table of 16 bits."""
+    plain = np.ascontiguousarray(x).view(np.uint8)
+    bits = np.unpackbits(plain, axis=1)
+    return np.concatenate([np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(np.uint16) for order in ORDERS], axis=1).T
+
+
+def met_corners(x: np.ndarray, y: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of descriptors at most ``near`` bits apart that share a key of some table.
+
+    Two descriptors 48 bits apart miss one another in all tables with probability 0.31, 32 bits apart
+    0.02; two pictures miss one another only if all their matching corners do.
+    """
+    keys, found = table_keys(x), []
+    for part, own in zip(table_keys(y), keys):
+        order = np.argsort(part, kind="stable")
+        held = part[order]
+        first = np.searchsorted(held, own, "left")
+        n = np.searchsorted(held, own, "right") - first
+        for at in range(0, len(x), 256):  # a key that many corners have makes no larger arrays
+            some = n[at : at + 256]
+            i = np.repeat(np.arange(at, at + len(some)), some)
+            j = order[np.repeat(first[at : at + 256] - np.cumsum(some) + some, some) + np.arange(some.sum())]
+            apart = np.bitwise_count(x[i] ^ y[j]).sum(axis=1, dtype=np.int64)
+            found.append(i[apart <= near] * len(y) + j[apart <= near])
+    return np.divmod(np.unique(np.concatenate(found)), len(y))
+
+
+def n_near(x: np.ndarray, y: np.ndarray, near: int) -> int:
+    """How many descriptors of ``x`` lie near one of ``y``, all compared."""
+    return int((np.bitwise_count(x[:, None] ^ y[None]).sum(axis=2, dtype=np.int64).min(axis=1) <= near).sum())
 
 
 def blocks(described: DataFrame) -> DataFrame:
@@ -263,20 +290,25 @@ def blocks(described: DataFrame) -> DataFrame:
 
 
 def shared_corners(queries: DataFrame, classes: DataFrame, least: int, folder: str) -> DataFrame:
-    """(q, digest): all pairs in which ``least`` corners of q are near a corner of digest, by comparing all."""
+    """(q, digest): pairs in which ``least`` corners of q are near a corner of digest.
+
+    Blocks of queries meet blocks of pictures, and in each pair of blocks the Hamming tables join
+    their corners, so no key is shuffled and none is hot; pairs of pictures that meet in a corner
+    are compared whole.
+    """
 
     @F.udf("array<struct<q: string, digest: string>>")
     def pairs(q_digests, q_counts, q_bits, digests, counts, bits):
         x, y = np.frombuffer(q_bits, np.uint64).reshape(-1, 4), np.frombuffer(bits, np.uint64).reshape(-1, 4)
         of_x, of_y = np.repeat(np.arange(len(q_counts)), q_counts), np.repeat(np.arange(len(counts)), counts)
-        met = []
-        for at in range(0, len(x), 64):
-            i, j = near_corners(x[at : at + 64], y, NEAR)
-            met.append(np.unique((i + at) * len(counts) + of_y[j]))
-        corner, other = np.divmod(np.concatenate(met), len(counts))
-        found, votes = np.unique(of_x[corner] * len(counts) + other, return_counts=True)
-        out = [(q_digests[p // len(counts)], digests[p % len(counts)]) for p in found[votes >= least].tolist()]
-        return [(q, d) for q, d in out if q != d]
+        at_x, at_y = np.append(0, np.cumsum(q_counts)), np.append(0, np.cumsum(counts))
+        i, j = met_corners(x, y, NEAR)
+        out = []
+        for p in np.unique(of_x[i] * len(counts) + of_y[j]).tolist():
+            q, d = divmod(p, len(counts))
+            if q_digests[q] != digests[d] and n_near(x[at_x[q] : at_x[q + 1]], y[at_y[d] : at_y[d + 1]], NEAR) >= least:
+                out.append((q_digests[q], digests[d]))
+        return out
 
     tasks = classes.sparkSession.sparkContext.defaultParallelism * 4
     left = written(blocks(queries), f"{folder}/query-blocks").toDF("q_digests", "q_counts", "q_bits")
