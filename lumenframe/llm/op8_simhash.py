@@ -28,7 +28,8 @@ from .common import fresh_name, read_table, removed, shared_folder, text_groups,
 from .near import components
 
 WORDS, RADIUS, SEED = 3, 3, 42
-SHARD, MOST_SHARDS, SAMPLE_A_SHARD = 8192, 4096, 48
+#: Fingerprints a shard, up to half a billion; beyond, shards grow by 8 bytes a fingerprint.
+SHARD, MOST_SHARDS, SAMPLE_A_SHARD = 8192, 65_536, 48
 BROADCAST_ROWS = 500_000
 SAMPLE_DOCS, MOST_COMMON = 20_000, 65_536
 SIGNATURE = 512
@@ -128,6 +129,25 @@ class VantageTree:
             stack += [(left, index[away <= bound]), (right, index[away > bound - self.radius])]
         return out
 
+    def counts(self, points: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """How many points lie within the radius of each query; pairs are counted, never listed."""
+        out, stack = np.zeros(len(queries), np.int64), [(self.root, np.arange(len(queries)))]
+        while stack:
+            node, asked = stack.pop()
+            if not len(asked):
+                continue
+            if isinstance(node, int):
+                held = points[self.leaves[node]]
+                for at in range(0, len(asked), 4096):
+                    some = asked[at : at + 4096]
+                    for b in range(0, len(held), 4096):  # a leaf that no bound divides
+                        out[some] += (np.bitwise_count(queries[some, None] ^ held[None, b : b + 4096]) <= self.radius).sum(axis=1)
+                continue
+            vantage, bound, left, right = node
+            away = np.bitwise_count(queries[asked] ^ vantage).astype(np.int64)
+            stack += [(left, asked[away <= bound + self.radius]), (right, asked[away > bound - self.radius])]
+        return out
+
     def near(self, points: np.ndarray, queries: np.ndarray, open_: np.ndarray):
         """(query position, point position) for open points within the radius of each query."""
         stack = [(self.root, np.arange(len(queries)))]
@@ -157,10 +177,7 @@ def shard_links(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
     and taken out of the search, so n points give at most n - 1 links.
     """
     tree = VantageTree(points, LEAF, radius, 0.5)
-    everyone, degree = np.ones(len(points), bool), np.zeros(len(points), np.int64)
-    for at in range(0, len(points), 8192):
-        for q, _ in tree.near(points, points[at : at + 8192], everyone):
-            degree += np.bincount(q + at, minlength=len(points))
+    degree = tree.counts(points, points)
     some = np.flatnonzero(degree > 1)  # everyone finds itself
     points, degree = points[some], degree[some]
     tree = VantageTree(points, LEAF, radius, 0.5)
@@ -190,7 +207,7 @@ def fingerprint_links(prints: DataFrame, folder: str, radius: int = RADIUS, shar
     if shards > 1:
         share = min(1.0, shards * SAMPLE_A_SHARD / n)
         sample = prints.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * MOST_SHARDS * SAMPLE_A_SHARD)
-        points = np.sort(np.array([r[0] for r in sample.collect()], np.int64)).astype(np.uint64)
+        points = np.sort(sample.select("fp").toArrow().column(0).to_numpy()).astype(np.uint64)
         tree = VantageTree(points, max(1, len(points) // shards), radius, 0.2)
     else:
         tree = VantageTree(np.zeros(0, np.uint64), 1, radius, 0.2)

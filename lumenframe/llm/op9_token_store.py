@@ -373,13 +373,24 @@ class TokenStore:
         folder, width, schema = self.folder, self.width, "digest binary, data binary"
 
         def task(batches):
+            out, size = [], 0
             for row, raw in _frames(folder, _rows(batches)):
-                yield _batch([(row[0], read_chunk(raw, row[4], row[5], width))], schema)
+                out.append((row[0], read_chunk(raw, row[4], row[5], width)))
+                size += len(out[-1][1])
+                if size > 8 << 20:
+                    yield _batch(out, schema)
+                    out, size = [], 0
+            yield _batch(out, schema)
 
         data = self.chunks.repartition(F.col("pack")).sortWithinPartitions("pack", "frame", "at").mapInArrow(task, schema)
         pieces = self.recipes.select("doc_id", "part", "ord", "start", F.posexplode("digests").alias("seq", "digest")).join(data, "digest")
         whole = pieces.groupBy("doc_id", "part", "ord").agg(F.first("start").alias("start"), F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("parts"))
-        return whole.select("doc_id", "start", F.expr("aggregate(parts.data, cast('' as binary), (a, b) -> concat(a, b))").alias("ids"))
+
+        @F.arrow_udf("binary")
+        def joined(parts: pa.Array) -> pa.Array:
+            return pa.array([b"".join([p["data"] for p in row]) for row in (parts[i].as_py() for i in range(len(parts)))], pa.binary())
+
+        return whole.select("doc_id", "start", joined("parts").alias("ids"))
 
 
 def write_store(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> TokenStore:
