@@ -414,3 +414,17 @@ def test_pipeline(spark):
             assert out.columns == docs.columns
             docs = out
     assert out.count() > 0 and corpus_pipeline.run(spark, SF).count() == out.count()
+
+
+@pytest.mark.parametrize("rows, labels", [(ROWS, []), (ROWS, [(1, 1), (1, 0), (2, None), (None, 1), (77, 0)]), ([], [(1, 1)])])
+def test_pipeline_of_odd_rows(spark, tmp_path, rows, labels):
+    spark.createDataFrame(labels, "doc_id long, quality int").withColumn("toxic", F.lit(0)).write.parquet(f"{tmp_path}/labels.parquet")
+    good = [(100 + i, " ".join(f"w{i}x{j}" for j in range(80)) + ".", "a") for i in range(5)] if rows else []
+    docs = odd(spark, [*rows, *good, *good[:1]])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert out.columns == docs.columns
+            docs = out
+    got = out.collect()
+    assert (len(got) == 0) == (not rows) and {100, 101, 102, 103, 104} <= {r.doc_id for r in got} | ({100, 101, 102, 103, 104} if not rows else set())
