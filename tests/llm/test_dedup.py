@@ -428,3 +428,90 @@ def test_pipeline_of_odd_rows(spark, tmp_path, rows, labels):
             docs = out
     got = out.collect()
     assert (len(got) == 0) == (not rows) and {100, 101, 102, 103, 104} <= {r.doc_id for r in got} | ({100, 101, 102, 103, 104} if not rows else set())
+
+
+def judged_by_hand(text, rules):
+    counts = dict(zip(op3.COUNTS, op3.statistics(text.encode())))
+    if counts["n_words"] < 50 or 100 * counts["n_repeat_words"] > 50 * counts["n_words"]:
+        return False
+    x = {name: float(counts[a]) if b is None else counts[a] / counts[b] if counts[b] else 0.0 for name, (a, b) in op3.RATIOS.items()}
+    return not any(all(x[t.feature] >= t.threshold if t.at_least else x[t.feature] <= t.threshold for t in rule) for rule in rules)
+
+
+def leaders_by_hand(rows):
+    """The rows that stay: of each group of similar texts those equal to the one with the smallest id."""
+    sets = [set(zip(*(w[i:] for i in range(5)))) if len(w := t.lower().split()) >= 5 else {tuple(w)} for _, t in rows]
+    group = list(range(len(rows)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                group[top(i)] = top(j)
+    return [r for i, r in enumerate(rows) if r[0] == min(q[0] for j, q in enumerate(rows) if top(j) == top(i))]
+
+
+def mix_by_hand(rows, most=3):
+    """doc_id -> copies, by the words of the contract: sources share by weight below bounds, then order sampling."""
+    import hashlib
+
+    size = {d: len(t.split()) for d, t, _ in rows}
+    sources = sorted({x for _, _, x in rows if x is not None}) + ([None] if any(x is None for _, _, x in rows) else [])
+    words = {x: sum(size[d] for d, _, y in rows if y == x) for x in sources}
+    weight = {x: i % 3 + 1 for i, x in enumerate(sources)}
+    target, open_ = {}, set(sources)
+    left = sum(words.values())
+    while open_:
+        level = left / sum(weight[x] for x in open_)
+        full = [x for x in open_ if level * weight[x] > most * words[x]]
+        for x in full or list(open_):
+            target[x] = most * words[x] if full else level * weight[x]
+            open_.discard(x)
+            left -= target[x]
+    copies = {}
+    for x in sources:
+        own = [d for d, _, y in rows if y == x]
+        ratio = target[x] / words[x] if words[x] else 0.0
+        whole, root = int(ratio), {d: int(size[d] ** 0.5) + 1 for d in own}
+        scale = sum(root[d] * size[d] for d in own) / words[x] if words[x] else 1.0
+        quotient = {}
+        for d in own:
+            u = (int(hashlib.md5(f"17:{d}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+            p = (ratio - whole) * root[d] / scale
+            quotient[d] = 0.0 if p >= 1 else None if p <= 0 else (o := (u / (1 - u)) / (p / (1 - p))) / (1 + o)
+        rest, run = target[x] - whole * words[x], 0
+        copies |= dict.fromkeys(own, whole)
+        for d in sorted((d for d in own if quotient[d] is not None), key=lambda d: (quotient[d], d, size[d])):
+            if run + size[d] / 2 > rest:
+                break
+            copies[d] += 1
+            run += size[d]
+    return copies
+
+
+def test_pipeline_equals_brute_force(spark):
+    from collections import Counter
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rules = op3.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = [(r.doc_id, r.text or "", r.source) for r in docs.collect()]
+    rows = [r for r in rows if judged_by_hand(r[1], rules)]
+    lines = {d: t for d, t, *_ in lines_by_hand(rows)}
+    stay = {d for d, _ in leaders_by_hand([(d, lines[d]) for d, _, _ in rows])}
+    copies = mix_by_hand([(d, lines[d], x) for d, _, x in rows if d in stay])
+    encode = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter({(d, len(encode.encode(lines[d], add_special_tokens=False).ids) + 1): n for d, n in copies.items() if n})
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert Counter((r.doc_id, r.doc_tokens) for r in got if r.start == 0) == want and len(want) > 50
+    held = Counter()
+    for r in got:
+        held[r.sequence_id] += r.length
+    assert max(held.values()) <= 2048 and sum(held.values()) == sum(k[1] * n for k, n in want.items())
+    assert all(Counter((r.doc_id, r.start) for r in got if r.doc_id == d)[d, 0] == n for (d, _), n in want.items())
