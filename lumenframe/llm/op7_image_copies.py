@@ -8,11 +8,12 @@ corners of each tile of about 64 by 64 pixels, strongest first, describe it, so
 large pictures keep enough.
 
 Hamming tables (two orders of the 256 bits, each cut into 16 keys of 16 bits) join the
-corners of the query pictures with all pictures', block by block.  Pictures that meet in
-some corner at most 48 bits apart are compared whole, and those with as many near corners
-as the consensus needs are candidates: one similarity transform (scale, turn, shift)
-over the matched corners must hold.  Five corners that all lie 48 bits apart, the
-farthest that counts, meet with probability 0.997.
+corners of the query pictures with all pictures', block by block.  Pictures of which
+three corners at most 48 bits apart meet are compared whole, and those with as many
+mutually nearest corners as the consensus needs (five) are candidates: one similarity
+transform (scale, turn, shift) over the matched corners must hold.  Of five corners that
+all lie 48 bits apart, the farthest that counts, three meet with probability 0.84; of five 40
+bits apart with 0.99, and copies have more.
 
 Equal pictures are merged before anything is described, so a group of copies is one row
 with its members' count.  ``find_copies`` gives every link, ``copy_classes`` one row per
@@ -37,6 +38,8 @@ from .near import components
 MOST_CORNERS, TILE, RADIUS, LEVELS, STEP = 24, 64, 9, 4, 0.8
 BLOCK = 8192
 NEAR, LEAST_INLIERS = 48, 5
+#: Near corners of a pair that the tables may miss; comparisons held at once.
+MISSED, AT_ONCE = 2, 1 << 20
 #: Orders in which a descriptor's bits are cut into keys: their own and a random one.
 ORDERS = (np.arange(256), np.random.default_rng(16).permutation(256))
 FEATURES = "xs: array<float>, ys: array<float>, sizes: array<float>, turns: array<float>, bits: binary"
@@ -268,9 +271,30 @@ def met_corners(x: np.ndarray, y: np.ndarray, near: int) -> tuple[np.ndarray, np
     return np.divmod(np.unique(np.concatenate(found)), len(y))
 
 
-def n_near(x: np.ndarray, y: np.ndarray, near: int) -> int:
-    """How many descriptors of ``x`` lie near one of ``y``, all compared."""
-    return int((np.bitwise_count(x[:, None] ^ y[None]).sum(axis=2, dtype=np.int64).min(axis=1) <= near).sum())
+def mutual_counts(x: np.ndarray, y: np.ndarray, at_x: np.ndarray, at_y: np.ndarray, pairs: np.ndarray, near: int) -> np.ndarray:
+    """For each pair (row of ``x``'s, row of ``y``'s picture) how many corners are each other's nearest and near enough.
+
+    Picture i has the rows ``at_x[i]`` to ``at_x[i + 1]``.  Many pairs are compared at a time; consensus needs as many matches.
+    """
+    out = np.zeros(len(pairs), np.int64)
+    size_x, size_y = np.diff(at_x)[pairs[:, 0]], np.diff(at_y)[pairs[:, 1]]
+    for shape in np.unique(np.stack([size_x, size_y], axis=1), axis=0):
+        same = np.flatnonzero((size_x == shape[0]) & (size_y == shape[1]))
+        rows, columns = np.arange(shape[0]), np.arange(shape[1])
+        step = max(1, AT_ONCE // int(shape[0] * shape[1]))
+        for at in range(0, len(same), step):
+            some = same[at : at + step]
+            left = x[at_x[pairs[some, 0]][:, None] + rows]
+            right = y[at_y[pairs[some, 1]][:, None] + columns]
+            apart = np.zeros((len(some), shape[0], shape[1]), np.uint16)
+            for word in range(4):
+                for r in range(0, shape[0], 64):  # large pictures need no larger arrays
+                    apart[:, r : r + 64] += np.bitwise_count(left[:, r : r + 64, None, word] ^ right[:, None, :, word])
+            mine = apart.argmin(axis=2)
+            best = np.take_along_axis(apart, mine[:, :, None], axis=2)[:, :, 0]
+            back = np.take_along_axis(apart.argmin(axis=1), mine, axis=1)
+            out[some] = ((best <= near) & (back == rows)).sum(axis=1)
+    return out
 
 
 def blocks(described: DataFrame) -> DataFrame:
@@ -290,11 +314,11 @@ def blocks(described: DataFrame) -> DataFrame:
 
 
 def shared_corners(queries: DataFrame, classes: DataFrame, least: int, folder: str) -> DataFrame:
-    """(q, digest): pairs in which ``least`` corners of q are near a corner of digest.
+    """(q, digest): pairs in which ``least`` corners of q and of digest are each other's nearest and near.
 
     Blocks of queries meet blocks of pictures, and in each pair of blocks the Hamming tables join
-    their corners, so no key is shuffled and none is hot; pairs of pictures that meet in a corner
-    are compared whole.
+    their corners, so no key is shuffled and none is hot; pairs of pictures of which at least
+    ``least - MISSED`` corners meet are compared whole.
     """
 
     @F.udf("array<struct<q: string, digest: string>>")
@@ -303,12 +327,11 @@ def shared_corners(queries: DataFrame, classes: DataFrame, least: int, folder: s
         of_x, of_y = np.repeat(np.arange(len(q_counts)), q_counts), np.repeat(np.arange(len(counts)), counts)
         at_x, at_y = np.append(0, np.cumsum(q_counts)), np.append(0, np.cumsum(counts))
         i, j = met_corners(x, y, NEAR)
-        out = []
-        for p in np.unique(of_x[i] * len(counts) + of_y[j]).tolist():
-            q, d = divmod(p, len(counts))
-            if q_digests[q] != digests[d] and n_near(x[at_x[q] : at_x[q + 1]], y[at_y[d] : at_y[d + 1]], NEAR) >= least:
-                out.append((q_digests[q], digests[d]))
-        return out
+        corners = np.unique(i * len(counts) + of_y[j])  # a corner of a query and a picture that has one near it
+        met, votes = np.unique(of_x[corners // len(counts)] * len(counts) + corners % len(counts), return_counts=True)
+        some = np.stack(np.divmod(met[votes >= least - MISSED], len(counts)), axis=1)
+        some = some[mutual_counts(x, y, at_x, at_y, some, NEAR) >= least]
+        return [(q_digests[q], digests[d]) for q, d in some.tolist() if q_digests[q] != digests[d]]
 
     tasks = classes.sparkSession.sparkContext.defaultParallelism * 4
     left = written(blocks(queries), f"{folder}/query-blocks").toDF("q_digests", "q_counts", "q_bits")
