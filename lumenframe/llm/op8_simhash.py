@@ -201,31 +201,39 @@ def shard_links(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def fingerprint_links(prints: DataFrame, folder: str, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """(a, b) links that join all fingerprints within ``radius``, for distinct ``fp`` (long)."""
-    spark = prints.sparkSession
-    n = prints.count()
-    shards = min(MOST_SHARDS, n // shard + 1)
-    if shards > 1:
-        share = min(1.0, shards * SAMPLE_A_SHARD / n)
-        sample = prints.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * MOST_SHARDS * SAMPLE_A_SHARD)
-        points = np.sort(sample.select("fp").toArrow().column(0).to_numpy()).astype(np.uint64)
-        tree = VantageTree(points, max(1, len(points) // shards), radius, 0.2)
-    else:
-        tree = VantageTree(np.zeros(0, np.uint64), 1, radius, 0.2)
-    sent = spark.sparkContext.broadcast(tree)
+    return links_by_view(prints.select(F.lit(0).alias("view"), "fp"), 1, folder, radius, shard).select("a", "b")
+
+
+def links_by_view(prints: DataFrame, views: int, folder: str, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """(view, a, b), such links within each ``view`` (int from 0), for distinct (view, fp); every view has a tree of its own."""
+    sizes = {r["view"]: r["count"] for r in prints.groupBy("view").count().collect()}
+    shards = [min(MOST_SHARDS // views, sizes.get(v, 0) // shard + 1) for v in range(views)]
+    points = [np.zeros(0, np.uint64)] * views
+    if max(shards) > 1:
+        shares = [min(1.0, n * SAMPLE_A_SHARD / max(1, sizes.get(v, 0))) for v, n in enumerate(shards)]
+        share = F.array(*(F.lit(int(x * (1 << 30))) for x in shares))[F.col("view")]
+        sample = prints.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < share).limit(2 * MOST_SHARDS * SAMPLE_A_SHARD)
+        sample = sample.select("view", "fp").toArrow()
+        of, fps = sample.column(0).to_numpy(), sample.column(1).to_numpy()
+        points = [np.sort(fps[of == v]).astype(np.uint64) for v in range(views)]
+    trees = [VantageTree(p, max(1, len(p) // n) if n > 1 else max(1, len(p)), radius, 0.2) for p, n in zip(points, shards)]
+    sent = prints.sparkSession.sparkContext.broadcast(trees)
 
     def deal(batches):
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False)
-            for leaf, index in sent.value.deal(fp.astype(np.uint64)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), leaf), pa.int32()), pa.array(fp[index])], names=["shard", "fp"])
+            view, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for v in np.unique(view).tolist():
+                own = fp[view == v]
+                for leaf, index in sent.value[v].deal(own.astype(np.uint64)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), v), pa.int32()), pa.array(np.full(len(index), leaf), pa.int32()), pa.array(own[index])], names=["view", "shard", "fp"])
 
     def join(table):
         fp = np.sort(table.column("fp").to_numpy().astype(np.int64))
         found = np.array(shard_links(fp.astype(np.uint64), radius), np.int64).reshape(-1, 2)
-        return pa.table({"a": fp[found[:, 0]], "b": fp[found[:, 1]]})
+        return pa.table({"view": pa.array(np.full(len(found), table.column("view")[0].as_py()), pa.int32()), "a": fp[found[:, 0]], "b": fp[found[:, 1]]})
 
-    dealt = prints.select("fp").mapInArrow(deal, "shard int, fp long")
-    return written(dealt.groupBy("shard").applyInArrow(join, "a long, b long"), f"{folder}/links-{radius}")
+    dealt = prints.select("view", "fp").mapInArrow(deal, "view int, shard int, fp long")
+    return written(dealt.groupBy("view", "shard").applyInArrow(join, "view int, a long, b long"), f"{folder}/links-{radius}")
 
 
 def classes(docs: DataFrame, prints: DataFrame, folder: str, radius: int = RADIUS) -> DataFrame:
@@ -363,16 +371,32 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, n: int) -> tupl
     return hashes[order], counts[order]
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8) -> DataFrame:
+def view_links(sets: DataFrame, views: int, folder: str, radius: int = RADIUS) -> DataFrame:
+    """(a, b) nodes of ``sets`` (node, fps) that join all of which a fingerprint of some view is within ``radius``."""
+    prints = sets.select("node", F.posexplode("fps").alias("view", "fp"))
+    first = written(prints.groupBy("view", "fp").agg(F.min("node").alias("first"), F.count("*").alias("c")), f"{folder}/first")
+    same = _matched(prints, first.filter("c > 1").drop("c"), ["view", "fp"], "inner").filter(F.col("node") != F.col("first"))
+    between = links_by_view(first.select("view", "fp"), views, folder, radius)
+    for end in ("a", "b"):
+        between = between.join(first.select("view", F.col("fp").alias(end), F.col("first").alias(f"node_{end}")), ["view", end])
+    links = same.select(F.col("node").alias("a"), F.col("first").alias("b")).unionByName(between.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")))
+    return written(links.distinct(), f"{folder}/links")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, views: int = 6, radius: int = RADIUS) -> DataFrame:
     """``docs`` without near copies: of each group one document stays, that with the smallest id.
 
     Two documents are linked if the sets of n-word shingles of their whole texts have at
     least the similarity; groups are the connected components of all such links.
 
-    Sets that share one of a few keys (see ``meeting_keys``) are candidates; a similar pair of long texts is
-    no candidate with probability ``LOSS`` at most, of short ones never.  Equal sets are one set.
-    Sizes, places in the order and signatures rule out most that aren't similar (see
-    ``may_be_similar``) before any text is fetched, and whole texts decide.  First each holder of a shingle is checked against one of up to eight
+    Vantage-point trees meet the SimHashes of the texts, that of ``fingerprint`` and those of ``views`` of the
+    set of distinct words, which few edits change little; whole texts decide on each link (see ``view_links``).
+
+    SimHashes miss similar texts (passages added or cut), and a link that fails hides those behind it, so pairs not
+    in one group by then are met again: sets that share one of a few keys (see ``meeting_keys``) are candidates; a
+    similar pair of long texts is no candidate with probability ``LOSS`` at most, of short ones never.  Equal sets are
+    one set.  Sizes, places in the order and signatures rule out most that aren't similar (see
+    ``may_be_similar``) before any text is fetched.  First each holder of a shingle is checked against one of up to eight
     hubs of it, which joins groups of many copies by few checks.  Then every pair of
     holders that is not in one group by then is checked, so a failed check closes no other.
 
@@ -387,11 +411,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = {h1: F.xxhash64(text), h2: F.xxhash64(F.lit("text"), text)}
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, id_col, text_col, n))
 
-    @F.arrow_udf("struct<s1: long, s2: long, size: int, lead: int, start: array<long>, sig: array<long>>")
+    @F.arrow_udf("struct<s1: long, s2: long, size: int, lead: int, start: array<long>, sig: array<long>, fps: array<long>>")
     def sketched(texts: pa.Array) -> pa.Array:
         from xxhash import xxh3_128_digest
 
-        whole, sizes, leads, starts, signatures = [], [], [], [], []
+        whole, sizes, leads, starts, signatures, prints = [], [], [], [], [], []
         for _, group in text_groups(texts):
             for t in group:
                 hashes = shingle_hashes(t, n)
@@ -401,13 +425,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 starts.append(start.astype(np.int64))
                 leads.append(lead)
                 signatures.append(signature(hashes))
+                prints.append(np.array([fingerprint(t), *word_fingerprints(t, views)], np.uint64).astype(np.int64))
         halves = np.frombuffer(b"".join(whole), "<i8").reshape(-1, 2)
-        return pa.StructArray.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int32()), pa.array(leads, pa.int32()), pa.array(starts, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64()))], names=["s1", "s2", "size", "lead", "start", "sig"])
+        return pa.StructArray.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int32()), pa.array(leads, pa.int32()), pa.array(starts, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64())), pa.array(prints, pa.list_(pa.int64()))], names=["s1", "s2", "size", "lead", "start", "sig", "fps"])
 
     seen = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"), *(c.alias(k) for k, c in keys.items()), sketched(F.encode(text, "UTF-8")).alias("s"))
     texts = seen.groupBy(h1, h2).agg(F.min("id").alias("least"), F.max("id").alias("most"), F.first("s").alias("s"))
     texts = written(texts.select(h1, h2, "least", "most", "s.*", F.struct(h1, h2).alias("node")), f"{folder}/sketches")
-    sets = texts.groupBy("s1", "s2").agg(F.min("node").alias("node"), F.first(F.struct("size", "lead", "start", "sig")).alias("s"))
+    sets = texts.groupBy("s1", "s2").agg(F.min("node").alias("node"), F.min_by(F.struct("size", "lead", "start", "sig", "fps"), "node").alias("s"))
     sets = written(sets.select("s1", "s2", "node", "s.*"), f"{folder}/sets")
     texts = written(texts.select(h1, h2, "least", "most", "s1", "s2", "node"), f"{folder}/texts")
     removed(docs.sparkSession, f"{folder}/sketches")
@@ -426,30 +451,40 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bodies = _matched(docs.select(own_id.alias(ident), *(c.alias(k) for k, c in keys.items()), F.encode(text, "UTF-8").alias("body")), linked, [h1, h2, ident], "left_semi")
         bodies = written(bodies.select(F.struct(h1, h2).alias("node"), "body"), f"{folder}/bodies-{step}").dropDuplicates(["node"])
         pairs = links.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
-        return written(pairs.filter(similar("x", "y")).select("a", "b"), f"{folder}/true-{step}")
+        out = written(pairs.filter(similar("x", "y")).select("a", "b"), f"{folder}/true-{step}")
+        removed(docs.sparkSession, f"{folder}/bodies-{step}")
+        return out
+
+    met = view_links(sets, views + 1, f"{folder}/prints", radius)
+    own = sets.select("node", "size", F.lit(0).alias("pos"), "sig")
+    met = met.join(own.withColumnsRenamed({"node": "a"}), "a").join(own.withColumnsRenamed({c: "b" if c == "node" else f"{c}_b" for c in own.columns}), "b")
+    met = written(same.unionByName(met.filter(may_be_similar(similarity)).select("a", "b")).distinct(), f"{folder}/links-prints")
+    true = checked(met, "prints")
+    groups = written(components(true, f"{folder}/prints-groups"), f"{folder}/groups-prints")
 
-    traits = ("node", "size", "pos", "sig")
+    traits = ("node", "size", "pos", "sig", "root")
     held = sets.select("node", "size", "sig", "lead", F.posexplode("start").alias("at", "shingle"))
     held = held.select("shingle", "node", "size", "sig", F.when(F.col("at") < F.col("lead"), F.col("at")).otherwise(0).alias("pos"))
     often = written(held.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1").select("shingle"), f"{folder}/often")
-    held = written(held.join(often, "shingle"), f"{folder}/held")
+    held = held.join(often, "shingle").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = written(held.select("shingle", *traits), f"{folder}/held")
     hubs = held.groupBy("shingle").agg(F.min_by(F.struct(*traits), F.xxhash64("node", F.col("shingle").bitwiseAND(7))).alias("hub"))
     hubs = written(hubs.select("shingle", *(F.col("hub")[c].alias(f"{c}_b") for c in traits)), f"{folder}/hubs")
-    star = held.join(hubs, "shingle").filter((F.col("node") != F.col("node_b")) & may_be_similar(similarity)).select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b"))
-    first = written(same.unionByName(star).distinct(), f"{folder}/links-hubs")
-    true = checked(first, "hubs")
+    star = held.join(hubs, "shingle").filter((F.col("root") != F.col("root_b")) & may_be_similar(similarity)).select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b"))
+    star = written(star.distinct().join(met, ["a", "b"], "left_anti"), f"{folder}/links-hubs")
+    true = true.unionByName(checked(star, "hubs"))
     groups = written(components(true, f"{folder}/hubs-groups"), f"{folder}/groups-hubs")
 
-    placed = held.join(groups, "node", "left").select("shingle", *traits, F.coalesce("root", "node").alias("root"))
-    placed = written(placed, f"{folder}/placed")
+    placed = held.drop("root").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = written(placed.select("shingle", *traits), f"{folder}/placed")
     removed(docs.sparkSession, f"{folder}/held")
     apart = placed.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("shingle")
     apart = written(apart, f"{folder}/apart")
     left = written(placed.join(apart, "shingle"), f"{folder}/left")
     removed(docs.sparkSession, f"{folder}/placed")
-    right = left.select("shingle", *(F.col(c).alias(f"{c}_b") for c in (*traits, "root")))
+    right = left.select("shingle", *(F.col(c).alias(f"{c}_b") for c in traits))
     rest = left.join(right, "shingle").filter((F.col("node") > F.col("node_b")) & (F.col("root") != F.col("root_b")) & may_be_similar(similarity))
-    rest = written(rest.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), f"{folder}/links-rest")
+    rest = written(rest.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(met.unionByName(star), ["a", "b"], "left_anti"), f"{folder}/links-rest")
     true = true.unionByName(checked(rest, "rest"))
 
     groups = written(components(true, folder), f"{folder}/groups").join(texts.select("node", "least"), "node")

@@ -263,6 +263,40 @@ def test_near_dedup_finds_longer_and_cut_copies(spark):
     assert pairs > 120 and len(got) == len(rows) - pairs and got >= {d for d, _ in rows if d % 2 == 0}
 
 
+def test_near_dedup_meets_by_simhash_and_trees(spark, monkeypatch):
+    met, dealt = [], []
+    view_links, links_by_view = op8.view_links, op8.links_by_view
+
+    def meeting(sets, *rest):
+        met.append((sets, view_links(sets, *rest)))
+        return met[-1][1]
+
+    def searched(prints, *rest):
+        dealt.extend((r["view"], r.fp % (1 << 64)) for r in prints.collect())
+        return links_by_view(prints, *rest)
+
+    monkeypatch.setattr(op8, "view_links", meeting)
+    monkeypatch.setattr(op8, "links_by_view", searched)
+    r = random.Random(5)
+    texts = [" ".join(f"u{r.randint(0, 900)}" for _ in range(r.randint(50, 300))) for _ in range(60)]
+    for t in texts[:40]:
+        words = t.split()
+        words[r.randrange(len(words))] = "changed"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stay = {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    (sets, links), prints = met[0], [[print_by_hand(t), *op8.word_fingerprints(t.encode(), 6)] for t in texts]
+    assert sorted(dealt) == sorted({(v, p) for x in prints for v, p in enumerate(x)})
+    fps = {x.node: [f % (1 << 64) for f in x.fps] for x in sets.collect()}
+    nodes = sorted(fps)
+    pairs = [(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if any((x ^ y).bit_count() <= 3 for x, y in zip(fps[a], fps[b]))]
+    got = [(x.a, x.b) for x in links.collect()]
+    assert len(pairs) > 20 and {tuple(sorted(x)) for x in got} <= set(pairs)
+    assert by_links(nodes, got) == by_links(nodes, pairs)
+    similar = [(i, 60 + i) for i in range(40) if op8.jaccard(texts[i].encode(), texts[60 + i].encode(), 5) >= 0.8]
+    assert stay == set(range(100)) - {b for _, b in similar}
+
+
 def test_near_dedup_of_odd_rows(spark):
     got = op8.near_dedup(odd(spark))
     assert got.columns == odd(spark).columns
