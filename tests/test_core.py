@@ -31,6 +31,23 @@ def test_whole_tables(spark, name):
     assert df.agg(F.max(df.columns[0])).first()[0] > 300
 
 
+def test_less_join_of_odd_rows_in_packs(spark):
+    nan = float("nan")
+    a = [(k, i, i % 7 if i % 11 else None, float(i * 37 % 101) if i % 13 else nan) for k in ("x", "y", None) for i in range(60)]
+    b = [(k, i, i % 9 if i % 17 else None, None if i % 19 == 0 else nan if i % 23 == 0 else float(i * 29 % 97)) for k in ("x", "z", None) for i in range(80)]
+    left, right = spark.createDataFrame(a, "k string, i int, low int, large double"), spark.createDataFrame(b, "k string, j int, high int, small double")
+    want = sorted((r.i, r.j) for r in left.join(right, "k").filter("low < high AND large > small").collect())
+    for pack in (1, 5, 64):
+        assert sorted((r.i, r.j) for r in joins.less_join(left, right, ["k"], "low", "high", "large", "small", classes=4, pack=pack).collect()) == want
+    assert want and not joins.less_join(left, right.filter("high IS NULL"), ["k"], "low", "high", "large", "small").head(1)
+
+
+def test_theta_joins_run_in_many_tasks(spark):
+    df = catalogue.QUERIES["join_theta"](spark, "/root/testdata/sf0.01")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "CartesianProduct" not in plan
+
+
 def test_streams_equal_batches(spark, tmp_path):
     e = tables.table(spark, SF, "events")
     e.repartition(3).write.parquet(f"{tmp_path}/in")
