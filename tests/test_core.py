@@ -48,6 +48,12 @@ def test_theta_joins_run_in_many_tasks(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan and "CartesianProduct" not in plan
 
 
+def test_sketches_are_made_per_group_only(spark):
+    plan = catalogue.QUERIES["agg_approx_bounds"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    sketching = [line for line in plan.splitlines() if "theta_sketch_agg" in line and "keys=[" in line]
+    assert sketching and not any("l_partkey" in line.split("keys=[")[1].split("]")[0] for line in sketching)
+
+
 def test_streams_equal_batches(spark, tmp_path):
     e = tables.table(spark, SF, "events")
     e.repartition(3).write.parquet(f"{tmp_path}/in")
